@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verba.runtime import prepare
+
 #: Rows up to which a side of (long, long) pairs may be broadcast: about 64 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
 
@@ -22,7 +24,7 @@ _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verba.llm.common import table
 
@@ -13,9 +14,111 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.html_diff import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without later copies of line runs of 50 words or more."""
+    from verba.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.url_gbt import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's whole text, and the text that they decode to."""
+    from verba.llm.sentencepiece_fst import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), decoded=True)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verba.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: rows whose vec_id is divisible by 100; candidates: every other row."""
+    from verba.llm.topk import top_k
+
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k(rows, rows.where("vec_id % 100 = 0"), k=10, scale=1024)
+
+
+def held_out(id_col: str = "doc_id"):
+    """Whether a document's labels are held out of training."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are learnt from documents that are not held out only."""
+    from verba.llm import quality_fm
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_fm.train(labelled(docs, labels))
+    out = quality_fm.score(docs.select("doc_id", "text"), model, ["doc_id"])
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, y) of the labelled documents that are not held out, one row per id."""
+    from verba.llm.common import small
+
+    y = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
+    side, _ = small(y)
+    return docs.select("doc_id", "text").join(side, "doc_id").select("text", "y")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archive of all pages, reads it back and tells what its records say."""
+    from verba.llm import warc
+    from verba.llm.common import Scratch
+
+    pages = table(spark, sf_dir, "pages")
+    path = f"{Scratch(spark, 'warc').root}/archive"
+    warc.write_archive(pages, path, least=100)
+    return warc.described(warc.read_archive(spark, path))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def queries() -> dict:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+    found = (op1_ngram_jaccard_join, op2_html_extraction, op3_line_dedup, op4_url_filters, op5_sentencepiece, op6_token_counts, op7_exact_top_k, op8_quality_classifier, op9_warc)
+    return {f.__name__: f for f in found}
+
+
+#: What DuckDB can express.  The others have tests against brute force.
+ORACLE = {
+    "op7_exact_top_k": """
+        with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+                   where vec_id is not null and embedding is not null and len(embedding) > 0
+                     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) as bigint) score
+              from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id and len(q.e) = len(c.e)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
+    "op9_warc": """
+        with p as (select page_id, encode(coalesce(html, '')) b from pages),
+        d as (select page_id, octet_length(b) n, sha256(b) h from p),
+        f as (select *, min(page_id) over (partition by h) lo from d)
+        select page_id, cast(n as bigint) payload_bytes, h payload_digest,
+               case when n >= 100 and page_id > lo then 'revisit' else 'response' end record_type,
+               case when n >= 100 and page_id > lo then lo end refers_to from f""",
+}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)
