@@ -89,6 +89,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.described(warc.read_archive(spark, path))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document leaks, with the best window."""
+    from verba.llm.decontaminate import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -96,7 +103,7 @@ def tokenizer(name: str) -> str:
 
 
 def queries() -> dict:
-    found = (op1_ngram_jaccard_join, op2_html_extraction, op3_line_dedup, op4_url_filters, op5_sentencepiece, op6_token_counts, op7_exact_top_k, op8_quality_classifier, op9_warc)
+    found = (op1_ngram_jaccard_join, op2_html_extraction, op3_line_dedup, op4_url_filters, op5_sentencepiece, op6_token_counts, op7_exact_top_k, op8_quality_classifier, op9_warc, op10_decontamination)
     return {f.__name__: f for f in found}
 
 
