@@ -1,24 +1,478 @@
-"""The registered queries of the text-analytics operators and their SQL."""
+"""The registered queries of the text-analytics operators and their SQL.
+
+Corpora without Cyrillic run the Cyrillic path through a fixed transliteration
+that both engines apply.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from verba import fixtures
+from verba.functions import dates, textnorm
+from verba.functions.textnorm import explode_tokens, with_tokens
+from verba.operators import analyzer, evaluate, gazetteer, ner
+from verba.operators.lookup import Profile
+from verba.plans.rules import compile_book, load
+from verba.runtime import prepare
+from verba.sources import dictionaries, tables
+
+QUERIES: dict[str, Callable] = {}
+ORACLE: dict[str, str] = {}
+#: Queries over fixed vectors: (query, wanted rows).
+GOLDEN: dict[str, tuple[Callable, Callable]] = {}
+
+WORD = r"\p{L}+(?:-\p{L}+)*"
+TOKEN = WORD + r"|[0-9]+|[^\p{L}0-9\s]"
+LATIN, CYRILLIC = "abvgdeziklmnoprstufhcy", "абвгдезиклмнопрстуфхцы"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def golden(columns: str, want: Callable):
+    """Register a query over fixed vectors; its oracle is the list of wanted rows."""
+
+    def add(f):
+        def quoted(v):
+            return "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+        QUERIES[f.__name__] = f
+        GOLDEN[f.__name__] = (f, want)
+        ORACLE[f.__name__] = f"select * from (values {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in want())}) as t({columns})"
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cyr(col: str = "text"):
+    return F.regexp_replace(F.translate(F.lower(col), LATIN, CYRILLIC), "[^а-я ]", " ")
+
+
+CYR_SQL = f"regexp_replace(translate(lower(text), '{LATIN}', '{CYRILLIC}'), '[^а-я ]', ' ', 'g')"
+TOKENS_SQL = f"select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) raw from documents"
+
+
+def doc_tokens(spark, sf_dir) -> DataFrame:
+    return explode_tokens(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# -- tokens and orthography ---------------------------------------------------------------
+
+
+@query(f"""select kind, count(*) n from (select case when regexp_full_match(raw, '{WORD}') then 'word' when regexp_full_match(raw, '[0-9]+') then 'number'
+    when regexp_full_match(raw, '\\p{{P}}') then 'punct' else 'symbol' end kind from ({TOKENS_SQL})) group by 1""")
+def token_counts_by_kind(spark, sf_dir):
+    return doc_tokens(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"select page_id, count(*) tokens from (select page_id, unnest(regexp_extract_all(html, '{TOKEN}')) raw from pages) group by 1")
+def token_counts_pages(spark, sf_dir):
+    t = with_tokens(table(spark, sf_dir, "pages").select("page_id", "html"), text_col="html")
+    return t.select("page_id", F.size("tokens").cast("long").alias("tokens"))
+
+
+@query(f"""with w as (select raw, regexp_replace(raw, '[^\\p{{Lu}}\\p{{Ll}}]', '', 'g') b from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}'))
+    select c, count(*) n from (select case when b = '' then 'none' when not regexp_matches(b, '\\p{{Lu}}') then 'lower' when not regexp_matches(b, '\\p{{Ll}}') and length(b) > 1 then 'upper'
+    when regexp_full_match(b, '\\p{{Lu}}\\p{{Ll}}*') or regexp_full_match(raw, '\\p{{Lu}}[^\\p{{Lu}}-]*(-\\p{{Lu}}[^\\p{{Lu}}-]*)*') then 'title' else 'mixed' end c from w) group by 1""")
+def token_case_histogram(spark, sf_dir):
+    return doc_tokens(spark, sf_dir).where("kind = 'word'").groupBy(F.col("case").alias("c")).agg(F.count("*").alias("n"))
+
+
+@query(f"select raw, count(*) n from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}') group by 1")
+def fast_words(spark, sf_dir):
+    """The SQL-only tokeniser, for texts without marks and mixed scripts."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.explode(textnorm.fast_tokens(F.col("text"))).alias("raw")).where(F.col("raw").rlike(r"^\p{L}")).groupBy("raw").agg(F.count("*").alias("n"))
+
+
+@query("select lang, count(*) docs, 0::bigint bad from documents group by 1")
+def token_offsets_contract(spark, sf_dir):
+    """Each token's code-point and byte offsets cut its own text out of the document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    t = with_tokens(docs.withColumn("src", F.col("text")), keep=["doc_id", "lang", "src"])
+    bad = "size(filter(tokens, t -> substring(src, t.rune_start + 1, t.rune_end - t.rune_start) <> t.raw or octet_length(t.raw) <> t.end - t.start))"
+    return t.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.expr(bad)).cast("long").alias("bad"))
+
+
+@query("select doc_id, len(regexp_extract_all(text, '[.!?;…]'))::bigint ends from documents")
+def sentence_counts(spark, sf_dir):
+    t = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return t.select("doc_id", F.expr("cast(size(filter(tokens, t -> t.sentence_end and t.kind = 'punct')) as bigint)").alias("ends"))
+
+
+@query(r"select doc_id, len(regexp_extract_all(text, '\p{L}\.'))::bigint dotted from documents")
+def dotted_words(spark, sf_dir):
+    t = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return t.select("doc_id", F.expr("cast(size(filter(tokens, t -> t.dotted)) as bigint)").alias("dotted"))
+
+
+@query(f"select distinct raw, strip_accents(lower(raw)) form from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}')")
+def orthography_latin(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    raw = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("raw")).distinct()
+    return textnorm.normalized(raw, "raw", "form")
+
+
+@query(f"""with p as (select raw, list_transform(range(0, len(string_split(raw, '-'))), lambda i: i) ix, string_split(raw, '-') ps from (select distinct raw from ({TOKENS_SQL}) where regexp_full_match(raw, '\\p{{L}}+(-\\p{{L}}+)+')))
+    select raw, unnest(ps) part, unnest(ix)::int i from p""")
+def hyphen_parts(spark, sf_dir):
+    t = doc_tokens(spark, sf_dir).where("kind = 'word' and raw like '%-%'").select("raw").distinct()
+    return t.select("raw", F.posexplode(F.split("raw", "-")).alias("i", "part"))
+
+
+@query("select doc_id, length(text)::bigint units from documents")
+def utf16_offsets(spark, sf_dir):
+    """UTF-16 offset of each text's end."""
+    return table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("units"))
+
+
+_SUFFIXES = ("яго", "аго", "ыя", "ия")
+
+
+@query(f"""with w as (select distinct unnest(string_split({CYR_SQL}, ' ')) w from documents), f as (select w || s form from w, (values ('яго'), ('аго'), ('ыя'), ('ия')) t(s) where w <> ''),
+    v as (select form, left(form, length(form) - 3) s3, left(form, length(form) - 2) s2 from f)
+    select form, case when form like '%яго' then s3 || 'его' when form like '%аго' then case when regexp_matches(s3, '[жшчщ]$') then s3 || 'ого,' || s3 || 'его' else s3 || 'ого' end
+    when form like '%ыя' then s2 || 'ые,' || s2 || 'ой' when regexp_matches(s2, '[кгх]$') then s2 || 'ие,' || s2 || 'ой' else s2 || 'ие,' || s2 || 'ей' end variants from v""")
+def reform_variants(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select(F.explode(F.split(cyr(), " ")).alias("w")).where("w <> ''").distinct()
+    f = w.select(F.explode(F.array(*(F.concat("w", F.lit(s)) for s in _SUFFIXES))).alias("form"))
+    return f.select("form", F.array_join(F.expr(textnorm.reform_variants_sql("form")), ",").alias("variants"))
+
+
+@query("select event_type kind, regexp_full_match(event_type, '[a-z][a-z0-9_]*') ok, count(*) n from events group by 1, 2 union all select p_brand, regexp_full_match(p_brand, '[a-z][a-z0-9_]*'), count(*) from part group by 1, 2")
+def kind_validity(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")).unionAll(table(spark, sf_dir, "part").select("p_brand"))
+    return rows.groupBy("kind", F.col("kind").rlike(r"^[a-z][a-z0-9_]*\z").alias("ok")).agg(F.count("*").alias("n"))
+
+
+# -- analyser --------------------------------------------------------------------------------
+
+
+@query(f"select strip_accents(lower(raw)) form, count(*) n, count(distinct doc_id) docs from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}') group by 1")
+def term_document_frequency(spark, sf_dir):
+    """Terms of all words and the documents that hold them; partial sums by document keep the shuffle small."""
+    per = doc_tokens(spark, sf_dir).where("kind = 'word'").groupBy("form", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+def _cyr_forms(spark, sf_dir):
+    """A dictionary made of the transliterated corpus: words of five letters and more; the lemma is the first five letters."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(cyr(), " ")).alias("form")).where("char_length(form) >= 5").distinct()
+    own = lambda lemma: F.struct(F.lit(0).alias("dict_ord"), F.lit("base.corpus").alias("dict"), F.lit("base").alias("kind"), F.col("form").alias("form_key"), F.col("form"), lemma.alias("lemma"), F.lit("NOUN").alias("tag"), F.lit(0).cast("long").alias("lexeme_id"), F.char_length(lemma).cast("long").alias("form_ord"), F.lit(False).alias("predicted"))
+    return words.select(F.explode(F.array(own(F.left("form", F.lit(4))), own(F.left("form", F.lit(5))))).alias("x")).select("x.*")
+
+
+@query(f"""with w as (select doc_id, unnest(string_split({CYR_SQL}, ' ')) form from documents), l as (select doc_id, unnest(case when length(form) >= 5 then [left(form, 4), left(form, 5)] else [form] end) lemma from w where form <> '')
+    select lemma, count(*) n, count(distinct doc_id) docs from l group by 1""")
+def index_terms_cyr(spark, sf_dir):
+    """Lemma frequencies of the transliterated corpus: each distinct form is looked up once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", cyr().alias("text"))
+    t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN, analyzer.INDEX)
+    per = t.select("doc_id", F.explode("lemmas.text").alias("lemma")).groupBy("lemma", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("lemma").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+
+
+def golden_forms(spark: SparkSession) -> DataFrame:
+    kinds = {"base": 0, "abbrev": 1, "surname": 2}
+    rows = [(0, f"{k}.test", k, f, f, n, t, 0, i, p == "*") for i, (f, n, t, k, p) in enumerate(fixtures.rows(fixtures.READINGS))]
+    assert {r[2] for r in rows} <= set(kinds)
+    return prepare(spark).createDataFrame(rows, dictionaries.FORMS_SCHEMA)
+
+
+def _shown(terms: DataFrame, *by: str) -> DataFrame:
+    one = F.struct("idx", "part", F.when(F.size("lemmas") > 0, F.concat("term", F.lit("="), analyzer.shown())).otherwise(F.col("raw")).alias("s"))
+    return terms.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["s"]), "; ").alias("terms"))
+
+
+@golden("profile, text, terms", lambda: [tuple(r) for r in fixtures.rows(fixtures.INDEX_CASES)])
+def analyze_index_golden(spark, sf_dir):
+    docs, forms, out = prepare(spark).createDataFrame(fixtures.rows(fixtures.INDEX_CASES), "profile string, text string, terms string"), golden_forms(spark), None
+    for name, p in fixtures.PROFILES.items():
+        own = docs.where(F.col("profile") == name).select("profile", F.col("text").alias("src"), "text")
+        got = _shown(analyzer.analyze(own, forms, p, mode=analyzer.INDEX, keep=["profile", "src"]), "profile", "src")
+        out = got if out is None else out.unionByName(got)
+    return out.select("profile", F.col("src").alias("text"), "terms")
+
+
+@golden("text, terms", lambda: [tuple(r) for r in fixtures.rows(fixtures.FULL_CASES)])
+def analyze_full_golden(spark, sf_dir):
+    docs = prepare(spark).createDataFrame([(r[0], r[0]) for r in fixtures.rows(fixtures.FULL_CASES)], "src string, text string")
+    return _shown(analyzer.analyze(docs, golden_forms(spark), fixtures.PROFILES["text"]), "src").select(F.col("src").alias("text"), "terms")
+
+
+@golden("query, terms, partial", lambda: [tuple(r) for r in fixtures.rows(fixtures.QUERY_CASES)])
+def parse_query_golden(spark, sf_dir):
+    q = prepare(spark).createDataFrame([(r[0], r[0]) for r in fixtures.rows(fixtures.QUERY_CASES)], "query string, text string")
+    t = analyzer.parse_queries(q, golden_forms(spark), fixtures.PROFILES["text"]).withColumn("s", F.concat("term", F.lit("="), analyzer.shown()))
+    done = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("partial"), F.struct("idx", "part", "s")))), lambda x: x["s"]), "; ")
+    return t.groupBy("query").agg(done.alias("terms"), F.coalesce(F.max(F.when(F.col("partial"), F.col("s"))), F.lit("-")).alias("partial"))
+
+
+@golden("word, kinds, src, want, forms", lambda: [tuple(r) for r in fixtures.rows(fixtures.INFLECT_CASES)])
+def inflect_forms(spark, sf_dir):
+    c = inflect_catalog(prepare(spark))
+    words = lambda col: F.filter(F.split(col, " "), lambda x: x != "")
+    req = spark.createDataFrame(fixtures.rows(fixtures.INFLECT_CASES), "word string, kinds string, src string, want string, forms string").drop("forms")
+    req = req.withColumn("id", F.concat_ws("|", "word", "kinds", "src", "want"))
+    got = dictionaries.inflect(req.select("id", "word", words("kinds").alias("kinds"), words("src").alias("from"), words("want").alias("want")), c.forms())
+    return req.join(got, "id").select("word", "kinds", "src", "want", F.coalesce(F.array_join("forms", " "), F.lit("")).alias("forms"))
+
+
+def inflect_catalog(spark) -> dictionaries.Catalog:
+    custom = [tuple(x.replace("ё", "е") for x in r) for r in fixtures.rows(fixtures.INFLECT_CUSTOM)]
+    return dictionaries.Catalog.open(spark, base=map(tuple, fixtures.rows(fixtures.INFLECT_BASE)), builtins={"custom.terms": custom}, kinds=["custom"])
+
+
+@query("""with d(ord, name, kind, rows) as (values (0, 'base.builtin', 'base', 13), (1, 'custom.terms', 'custom', 2)) select kind, 1::bigint dictionaries, rows::bigint forms from d""")
+def registry_summary(spark, sf_dir):
+    return inflect_catalog(prepare(spark)).summary()
+
+
+@query("""select n, case when m between 11 and 14 then 'gent,plur' when m % 10 = 1 then 'nomn,sing' when m % 10 between 2 and 4 then 'gent,sing' else 'gent,plur' end g, c
+    from (select -l_orderkey % 100 n, abs(-l_orderkey % 100) m, count(*) c from lineitem group by 1, 2)""")
+def numeral_grammemes(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy((-F.col("l_orderkey") % 100).alias("n")).agg(F.count("*").alias("c"))
+    return rows.select("n", F.array_join(dates.numeral_grammemes(F.col("n")), ",").alias("g"), "c")
+
+
+# -- dates -----------------------------------------------------------------------------------
+
+
+@query("select o_orderkey, cast(o_orderdate as date) d from orders")
+def dates_numeric(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("text"))
+    x = dates.parse_dates(o, "text")
+    return x.select("o_orderkey", F.make_date("date.year", "date.month", "date.day").alias("d"))
+
+
+@query("select o_orderkey, cast(o_orderdate as date) d from orders")
+def dates_words(spark, sf_dir):
+    genitive = F.array(*(F.lit(w.split()[1] if n != 3 else "марта") for n, w in dates.MONTHS.items()))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(" ", F.dayofmonth("o_orderdate").cast("string"), F.get(genitive, F.month("o_orderdate") - 1), F.year("o_orderdate").cast("string"), F.lit("года")).alias("text"))
+    x = dates.parse_dates(o, "text")
+    return x.select("o_orderkey", F.make_date("date.year", "date.month", "date.day").alias("d"))
+
+
+@golden("text, ctx, d", lambda: [(t, int(c), d) for t, c, d in fixtures.rows(fixtures.DATES)])
+def dates_golden(spark, sf_dir):
+    df = prepare(spark).createDataFrame([(t, int(c)) for t, c, _ in fixtures.rows(fixtures.DATES)], "text string, ctx int")
+    x = dates.parse_dates(df, "text", F.col("ctx"))
+    shown = F.concat(F.format_string("%d-%d-%d", "date.year", "date.month", "date.day"), F.when(F.col("date.year_from_context"), "*").otherwise(""))
+    return x.select("text", "ctx", F.coalesce(F.when(F.col("date").isNotNull(), shown), F.lit("")).alias("d"))
+
+
+# -- sources ------------------------------------------------------------------------------------
+
+_MANIFEST = [("a", 1, "# note"), ("a", 2, "Source: OpenCorpora"), ("a", 3, "no colon"), ("a", 4, "license: CC0"), ("a", 5, "x: 1"), ("b", 1, "source: Own: two"), ("b", 2, "url: http://h"), ("b", 3, "y: 2"), ("b", 4, "")]
+
+
+@golden("file, body, merged", lambda: [("a", "source: OpenCorpora\nlicense: CC0\nx: 1", "source: OpenCorpora\nlicense: CC0\nurl: http://h\nx: 1\ny: 2"), ("b", "source: Own: two\nurl: http://h\ny: 2", "source: OpenCorpora\nlicense: CC0\nurl: http://h\nx: 1\ny: 2")])
+def manifests(spark, sf_dir):
+    """Parsed, written again, and merged with file a first."""
+    m = dictionaries.manifest_fields(prepare(spark).createDataFrame(_MANIFEST, "file string, line_no int, line string"), ["file"])
+    one = lambda f: m.where(F.col("file") == f).select(F.struct(*(c for c in m.columns if c != "file")).alias(f))
+    both = one("a").join(one("b")).select(*dictionaries.merge_manifests("a", "b")).select(dictionaries.manifest_text().alias("merged"))
+    return m.select("file", dictionaries.manifest_text().alias("body")).join(both)
+
+
+_LINES = ["# note", "place\tp:1\tКиев\tКиев", "place\tp:1\t\tг. Киев\tcase_sensitive, blocked\tk=v; n=1", "bad", "\tp:2\tx\ty", "place\tp:3\tx\ty\tnone", "", "place\tp:4\tx\ty\t\t=v"]
+
+
+@golden("line_no, type, canonical, flags, attrs, fault", lambda: [(2, "place", "Киев", 0, "", None), (3, "place", "г. Киев", 12, "k=v;n=1", None), (4, None, None, None, None, "want 4 to 6 fields, got 1"), (5, None, None, None, None, "no type"), (6, None, None, None, None, "unknown flag"), (8, None, None, None, None, "an attribute is key=value")])
+def gazetteer_tsv(spark, sf_dir):
+    good, bad = tables.gazetteer_lines(prepare(spark).createDataFrame([("s", i, x) for i, x in enumerate(_LINES, 1)], "source string, line_no int, line string"))
+    none = lambda kind: F.lit(None).cast(kind)
+    attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return good.select(F.col("entry_ord").cast("int").alias("line_no"), "type", "canonical", "flags", attrs.alias("attrs"), none("string").alias("fault")).unionByName(bad.select("line_no", none("string").alias("type"), none("string").alias("canonical"), none("int").alias("flags"), none("string").alias("attrs"), "fault"))
+
+
+# -- gazetteer ----------------------------------------------------------------------------------
+
+
+def part_entries(spark, sf_dir) -> DataFrame:
+    """Part names as aliases; the reference is the brand."""
+    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("entry_ord"), F.min("p_brand").alias("ref"))
+    return p.select(F.lit("part").alias("source"), "entry_ord", F.col("p_name").alias("alias"), F.lit("part").alias("type"), "ref", F.lit("").alias("canonical"), F.expr("cast(map() as map<string,string>)").alias("attrs"), F.lit(0).alias("flags"))
+
+
+def no_forms(spark) -> DataFrame:
+    return prepare(spark).createDataFrame([], dictionaries.FORMS_SCHEMA)
+
+
+@query(f"""with p as (select p_name, min(p_partkey) e from part group by 1), k as (select e, array_to_string(list_transform(regexp_extract_all(p_name, '{WORD}|[0-9]+'), lambda x: strip_accents(lower(x))), ' ') key from p)
+    select 'part#' || e alias_id, kind key_kind, key, len(string_split(key, ' '))::int n_words from k, (values ('lemma'), ('surface')) t(kind) where key <> ''""")
+def alias_keys(spark, sf_dir):
+    return gazetteer.keys(gazetteer.compile_entries(part_entries(spark, sf_dir), no_forms(spark), {}, Profile("text")))
+
+
+_FREQ = f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) raw, unnest(range(1, len(regexp_extract_all(text, '{TOKEN}')) + 1)) idx from documents where lang = 'en'),
+    d as (select *, length(raw) = 1 and lead(raw) over w = '.' as short, sum((raw = '.')::int) over w dots, regexp_full_match(raw, '{WORD}|[0-9]+') word from t window w as (partition by doc_id order by idx)),
+    n as (select doc_id, idx, strip_accents(lower(raw)) f, short, dots, lead(idx) over w nidx, lead(dots) over w ndots, lead(strip_accents(lower(raw))) over w nf from d where word window w as (partition by doc_id order by idx)),
+    c as (select doc_id, f, nf, case when short then nidx - idx - 1 = ndots - dots else nidx = idx + 1 end nw from n where nidx is not null),
+    b as (select f || ' ' || nf k from c where nw group by 1 having count(*) >= 20)"""
+
+
+@query(_FREQ + " select doc_id, k alias, count(*) n from (select doc_id, f || ' ' || nf k from c where nw) join b using (k) group by 1, 2")
+def surface_matches(spark, sf_dir):
+    """Frequent pairs of words as aliases, matched in all English texts."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    t = explode_tokens(with_tokens(docs)).withColumns({"term": F.col("form"), "lemmas": F.expr("array(named_struct('text', form, 'flags', 4, 'tag', '', 'kind', '', 'dict', ''))")})
+    pos = gazetteer.positions(t)
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    pairs = pos.withColumn("next", F.lead("term").over(w)).where("not brk").groupBy(F.concat_ws(" ", "term", "next").alias("key")).agg(F.count("*").alias("n")).where("n >= 20")
+    hits = gazetteer.surface_matches(pos, pairs.select("key", F.col("key").alias("alias_id"), F.lit("surface").alias("key_kind")), 2)
+    return hits.groupBy("doc_id", F.col("alias_id").alias("alias")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with t as (select doc_id, {CYR_SQL} c from documents), s as (select doc_id, list_filter(string_split(c, ' '), lambda x: x <> '') l from t),
+    e as (select doc_id, unnest(l) f, unnest(range(1, len(l) + 1)) i from s),
+    o as (select doc_id, i, unnest(case when length(f) >= 5 then [left(f, 4), left(f, 5)] else [f] end) m from e),
+    k as (select distinct a.m || ' ' || b.m key from o a join o b on a.doc_id = b.doc_id and b.i = a.i + 1 where a.doc_id % 50 = 0 and length(a.m) = 4 and length(b.m) = 4)
+    select a.doc_id, a.m || ' ' || b.m key, count(*) n from o a join o b on a.doc_id = b.doc_id and b.i = a.i + 1 join k on k.key = a.m || ' ' || b.m group by 1, 2""")
+def lemma_matches(spark, sf_dir):
+    """Lemma pairs as keys, matched over ambiguous words by the level-wise trie join.
+
+    The keys are a sample on purpose (every fiftieth text's pairs); all texts are matched.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", cyr().alias("text"))
+    t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN)
+    pos = gazetteer.positions(t)
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    near = pos.where("doc_id % 50 = 0").withColumn("next", F.lead("options").over(w)).where("next is not null")
+    keys = near.select(F.explode("options").alias("a"), "next").select("a", F.explode("next").alias("b")).where("char_length(a) = 4 and char_length(b) = 4").select(F.concat_ws(" ", "a", "b").alias("key")).distinct()
+    hits = gazetteer.lemma_matches(pos, keys.select("key", F.lit("lemma").alias("key_kind"), F.col("key").alias("alias_id"), F.lit(2).alias("n_words")))
+    return hits.groupBy("doc_id", F.col("alias_id").alias("key")).agg(F.count("*").alias("n"))
+
+
+def nation_entries(spark, sf_dir) -> DataFrame:
+    """Nation names as aliases, grouped by region."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return n.select(F.lit("nation").alias("source"), F.col("n_nationkey").cast("long").alias("entry_ord"), F.col("n_name").alias("alias"), F.lit("nation").alias("type"), F.concat(F.lit("r:"), "n_regionkey").alias("ref"), F.col("r_name").alias("canonical"), F.expr("cast(map() as map<string,string>)").alias("attrs"), F.lit(0).alias("flags"))
+
+
+_NATION = f"select array_to_string(list_transform(regexp_extract_all(n_name, '{WORD}|[0-9]+'), lambda x: strip_accents(lower(x))), ' ') key, r_name, n_regionkey from nation join region on n_regionkey = r_regionkey"
+
+
+@query(f"select key, array_to_string(list_sort(list_distinct(list(r_name))), ',') forms from ({_NATION}) group by 1")
+def variant_canonical(spark, sf_dir):
+    c = gazetteer.compile_entries(nation_entries(spark, sf_dir), no_forms(spark), {}, Profile("text"))
+    return gazetteer.canonical_forms(c).select("key", F.array_join("forms", ",").alias("forms"))
+
+
+@query(f"with k as ({_NATION}) select a.key lemma, array_to_string(list_sort(list_distinct(list(b.key))), ',') expanded from k a join k b using (n_regionkey) group by 1")
+def variant_expand(spark, sf_dir):
+    c = gazetteer.compile_entries(nation_entries(spark, sf_dir), no_forms(spark), {}, Profile("text"))
+    return gazetteer.variants(c).select("lemma", F.array_join("expanded", ",").alias("expanded"))
+
+
+# -- extraction -----------------------------------------------------------------------------------
+
+
+def golden_catalog(spark) -> dictionaries.Catalog:
+    by = {k: [(n, f, t) for kind, n, t, fs in fixtures.rows(fixtures.VOCABULARY) if kind == k for f in fs.split()] for k in fixtures.KINDS}
+    return dictionaries.Catalog.open(prepare(spark), base=by.pop("base"), builtins={f"{k}.test": v for k, v in by.items()}, kinds=fixtures.KINDS, predictions=fixtures.PREDICTED)
+
+
+def golden_compiled(spark, forms) -> DataFrame:
+    lines = [("test", i, "\t".join(r)) for i, r in enumerate(fixtures.rows(fixtures.ENTRIES), 1)]
+    good, _ = tables.gazetteer_lines(spark.createDataFrame(lines, "source string, line_no int, line string"))
+    return gazetteer.compile_entries(good, forms, {t: fixtures.NER_PROFILES[p] for t, p in fixtures.TYPE_PROFILES.items()}, fixtures.NER_PROFILES["text"])
+
+
+def golden_results(spark) -> DataFrame:
+    forms = golden_catalog(spark).forms()
+    docs = spark.createDataFrame([(i, [t for t in g.split(",") if t], x) for i, g, x, _ in fixtures.rows(fixtures.DOCUMENTS)], "doc_id string, tags array<string>, text string")
+    p = ner.Pipeline(fixtures.NER_PROFILES, "text", compile_book(load(fixtures.RULES)), nesting=fixtures.NESTING, explain=True)
+    return ner.extract_documents(docs, golden_compiled(spark, forms), forms, p)
+
+
+def golden_spans(spark) -> DataFrame:
+    return ner.spans(golden_results(spark))
+
+
+@golden("doc_id, spans", lambda: [(i, s) for i, _, _, s in fixtures.rows(fixtures.DOCUMENTS)])
+def genealogy_spans(spark, sf_dir):
+    return golden_results(prepare(spark)).select("doc_id", F.array_join(F.transform("spans", lambda s: F.concat(s["type"], F.lit(":"), s["surface"])), "; ").alias("spans"))
+
+
+@golden("doc_id, kind, args, rule", lambda: [("variant", "child_of", "child=0,parent=1", "persons/child")])
+def facts_golden(spark, sf_dir):
+    args = F.array_join(F.array_sort(F.transform(F.map_entries("args"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return ner.facts(golden_results(prepare(spark))).select("doc_id", "kind", args.alias("args"), "rule")
+
+
+@golden("source, entries, aliases, lemma_keys, surface_keys, capped, blocked, skipped", lambda: [("test", 15, 15, 14, 15, 0, 0, 0)])
+def compile_report(spark, sf_dir):
+    return gazetteer.report(golden_compiled(prepare(spark), golden_catalog(spark).forms()))
+
+
+#: Function words, each of one language only.
+FUNCTION_WORDS = {"en": ("the", "of", "and"), "fr": ("les", "une", "pour"), "de": ("der", "und", "mit"), "es": ("los", "del", "con")}
+
+
+@query(f"""with w(lang, form) as (values {", ".join(f"('{k}', '{w}')" for k, ws in FUNCTION_WORDS.items() for w in ws)})
+    select w.lang as type, raw surface, count(*) n, 3.0::double score from ({TOKENS_SQL}) join w on strip_accents(lower(raw)) = form group by 1, 2""")
+def entity_spans_documents(spark, sf_dir):
+    """Spans of function words, typed by language, over all texts: matching, scoring, resolution and output."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = [("words", i, w, lang, f"{lang}:{w}", w, {}, 0) for i, (lang, w) in enumerate((k, w) for k, ws in FUNCTION_WORDS.items() for w in ws)]
+    forms = no_forms(spark)
+    compiled = gazetteer.compile_entries(spark.createDataFrame(rows, tables.ENTRY_SCHEMA), forms, {}, Profile("text"))
+    got = ner.extract_documents(docs, compiled, forms, ner.Pipeline({"text": Profile("text")}, "text"))
+    return ner.spans(got).groupBy("type", "surface").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("score"))
+
+
+# -- evaluation --------------------------------------------------------------------------------------
+
+_GOLD = [("1", 0, 0, 5, "a"), ("1", 1, 6, 9, "b"), ("2", 0, 0, 4, "a"), ("2", 1, 0, 4, "a")]
+_PRED = [("1", 0, 0, 4, "a"), ("1", 1, 6, 9, "b"), ("2", 0, 0, 4, "a"), ("2", 1, 2, 9, "a"), ("2", 2, 3, 4, "a"), ("3", 0, 0, 1, "c")]
+
+
+def _scored(spark):
+    make = lambda rows: prepare(spark).createDataFrame(rows, "case_id string, ord int, start int, end int, type string")
+    return make(_GOLD), make(_PRED)
+
+
+@golden("type, tp, fp, fn", lambda: [("a", 1, 3, 2), ("b", 1, 0, 0), ("c", 0, 1, 0)])
+def golden_strict_scores(spark, sf_dir):
+    return evaluate.strict_counts(*_scored(spark))
+
+
+@golden("type, tp, fp, fn", lambda: [("a", 3, 1, 0), ("b", 1, 0, 0), ("c", 0, 1, 0)])
+def golden_partial_scores(spark, sf_dir):
+    return evaluate.partial_counts(*_scored(spark))
+
 
-def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    raw = docs.select("doc_id", F.explode(F.expr(r"regexp_extract_all(text, '\\p{L}+(?:-\\p{L}+)*|[0-9]+', 0)")).alias("raw"))
-    return raw.groupBy("raw").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+@query("""with c(type, tp, fp, fn) as (values ('a', 1, 3, 2), ('b', 1, 0, 0), ('c', 0, 1, 0)), r as (select *, case when tp + fp = 0 then 1.0 else tp::double / (tp + fp) end p, case when tp + fn = 0 then 1.0 else tp::double / (tp + fn) end r from c)
+    select type, round(p, 6) p, round(r, 6) r, round(case when p + r = 0 then 0 else 2 * p * r / (p + r) end, 6) f1 from r""")
+def golden_prf(spark, sf_dir):
+    x = evaluate.rates(evaluate.strict_counts(*_scored(spark)))
+    return x.select("type", F.round("precision", 6).alias("p"), F.round("recall", 6).alias("r"), F.round("f1", 6).alias("f1"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_document_frequency(spark, sf_dir)
+    """The flagship query: entity spans over all documents."""
+    return entity_spans_documents(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)
