@@ -90,8 +90,11 @@ def without_copies(rows, least):
                 if n >= least:
                     run = tuple(x for _, x in lines[a : b + 1])
                     if run in seen:
-                        gone |= set(range(lines[a][0], lines[b][0] + 1))
+                        gone |= {n for n, _ in lines[a : b + 1]}
                     seen.add(run)
+        for (x, _), (y, _) in zip(lines, lines[1:], strict=False):
+            if x in gone and y in gone:
+                gone |= set(range(x, y))
         out.append((i, "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone)))
     return dict(out)
 

@@ -20,8 +20,8 @@ line).  Later copies of every maximal repeated run are deleted.
    the start, or in the shortest run that ends at the line.  So levels end at
    ``log2(min_words)``, and no interval is ever gathered: only minima by interval.
 
-Defined results: null text stays null, empty text and empty lines outside deleted
-runs stay; rows that repeat a doc_id and its text are one document and stay
+Defined results: null text stays null, empty text stays; an empty line goes if the
+nearest other lines on both sides go; rows that repeat a doc_id and its text are one document and stay
 alike; rows of one doc_id with other texts are documents of their own, in order
 of a hash of the text; null ids come last in order.  A text whose lines are all
 copies becomes empty.  Other columns stay as they are.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from verba.llm.common import Scratch, small
 
 LAST = (1 << 63) - 1
-LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, lo2 int, hi2 int, m2 int"
+LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, nx1 int, lo2 int, hi2 int, m2 int, nx2 int"
 _NAMES = [x.split()[0] for x in LINES.split(", ")]
 
 
@@ -74,11 +74,12 @@ def _lines(least: int):
                 fwd, bwd = windows(np.array([len(x.split()) for x in own]), least)
                 raw = np.array(raw)
                 at = np.arange(n)
-                hi1 = raw[np.minimum(at + np.maximum(fwd, 1) - 1, n - 1)]
+                end = np.minimum(at + np.maximum(fwd, 1) - 1, n - 1)
+                after = np.append(raw[1:], -1)  # the next line that is not empty
                 lo2 = raw[np.maximum(at - np.maximum(bwd, 1) + 1, 0)]
-                for c, v in zip(out, (np.full(n, did), np.full(n, th), at, h[:, 0], h[:, 1], raw, hi1, fwd, lo2, raw, bwd), strict=True):
+                for c, v in zip(out, (np.full(n, did), np.full(n, th), at, h[:, 0], h[:, 1], raw, raw[end], fwd, after[end], lo2, raw, bwd, after), strict=True):
                     c.append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.int32()] * 6
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.int32()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(t) for c, t in zip(out, types, strict=True)], _NAMES)
 
     return run
@@ -87,11 +88,15 @@ def _lines(least: int):
 def _mask(batches):
     for b in batches:
         masks = []
-        for lo, hi in zip(b.column("lo").to_pylist(), b.column("hi").to_pylist(), strict=True):
+        for lo, hi, after in zip(*(b.column(c).to_pylist() for c in ("lo", "hi", "nx")), strict=True):
             m = np.zeros(max(hi) + 2, np.int32)
             np.add.at(m, lo, 1)
             np.add.at(m, np.array(hi) + 1, -1)
-            masks.append(np.cumsum(m)[:-1] > 0)
+            gone = np.cumsum(m)[:-1] > 0
+            for h, x in set(zip(hi, after, strict=True)):
+                if h + 1 < x < len(gone) and gone[x]:
+                    gone[h + 1 : x] = True
+            masks.append(gone)
         yield pa.RecordBatch.from_arrays([b.column("did"), b.column("th"), pa.array(masks, pa.list_(pa.bool_()))], ["did", "th", "gone"])
 
 
@@ -100,7 +105,7 @@ def _key(id_col: str, text_col: str):
 
 
 def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(did, th, lo, hi): line numbers of runs that occur earlier, both ends included."""
+    """(did, th, lo, hi, nx): line numbers of runs that occur earlier, both ends included, and of the next line that is not empty."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(*_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
     lines = scratch.keep(rows.mapInArrow(_lines(min_words), LINES), "lines")
@@ -125,22 +130,22 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
     names = levels[0]
     for other in levels[1:]:
         names = names.unionByName(other)
-    first = lines.where("m1 > 0").select("did", "th", "o", F.col("m1").alias("m"), F.col("lo1").alias("lo"), F.col("hi1").alias("hi"))
-    last = lines.where("m2 > 0").select("did", "th", (F.col("o") - F.col("m2") + 1).cast("int").alias("o"), F.col("m2").alias("m"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"))
+    first = lines.where("m1 > 0").select("did", "th", "o", F.col("m1").alias("m"), F.col("lo1").alias("lo"), F.col("hi1").alias("hi"), F.col("nx1").alias("nx"))
+    last = lines.where("m2 > 0").select("did", "th", (F.col("o") - F.col("m2") + 1).cast("int").alias("o"), F.col("m2").alias("m"), F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), F.col("nx2").alias("nx"))
     runs = first.unionByName(last).withColumn("k", F.floor(F.log2("m")).cast("int"))
     runs = runs.join(names.withColumnRenamed("r", "r1"), ["did", "th", "o", "k"])
     runs = runs.withColumn("e", F.expr("cast(o + m - shiftleft(1, k) as int)"))
     runs = runs.join(names.select("did", "th", F.col("o").alias("e"), "k", F.col("r").alias("r2")), ["did", "th", "e", "k"])
-    runs = scratch.keep(runs.select("did", "th", "o", "m", "r1", "r2", "lo", "hi").distinct(), "runs")
+    runs = scratch.keep(runs.select("did", "th", "o", "m", "r1", "r2", "lo", "hi", "nx").distinct(), "runs")
     earliest = runs.groupBy("m", "r1", "r2").agg(F.min(F.struct("did", "th", "o")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    return runs.join(earliest, ["m", "r1", "r2"]).where(F.struct("did", "th", "o") > F.col("first")).select("did", "th", "lo", "hi")
+    return runs.join(earliest, ["m", "r1", "r2"]).where(F.struct("did", "th", "o") > F.col("first")).select("did", "th", "lo", "hi", "nx")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with repeated runs deleted from the text, and ``removed``, the number of lines deleted."""
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_runs(docs, scratch, min_words, id_col, text_col)
-    masks = gone.groupBy("did", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")).mapInArrow(_mask, "did long, th long, gone array<boolean>")
+    masks = gone.groupBy("did", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("nx").alias("nx")).mapInArrow(_mask, "did long, th long, gone array<boolean>")
     masks, _ = small(scratch.keep(masks, "masks"), 200_000)
     did, th = _key(id_col, text_col)
     names = [c for c in docs.columns]
