@@ -73,8 +73,12 @@ class Transducer:
     def __init__(self, model: PieceModel):
         if not (model.newline_splits and model.space_starts):
             raise ValueError("pieces across line feeds or before a space mark")
-        self.model, self.longest = model, model.longest
+        self.model = model
         self.pair: dict[tuple[str, str], float] = {}
+        #: Length of the longest piece by its first two characters.
+        self.reach: dict[str, int] = {}
+        for p in model.score:
+            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
         self.spaced: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.out = [self._written(i) for i in range(len(model.pieces))]
@@ -95,25 +99,34 @@ class Transducer:
     def path(self, part: str) -> list[str]:
         """The pieces of least total weight that write ``part``; characters that are no piece stand for themselves.
 
-        States are (place, last piece).  Merging is deterministic, so a place
-        has one state of finite weight, and as no path weighs less than 0 the
-        first arc of weight 0 into a place settles it.
+        States are (place, last piece).  No path weighs less than 0, so the first
+        whole path of weight 0 is a shortest one: it is searched depth first,
+        longer pieces first, and a state that led nowhere is not entered again.
         """
-        score, n, pair = self.model.score, len(part), self.pair
-        last, begin = [""] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                piece = part[start:end]
-                if piece in score or end - start == 1:
-                    w = pair.get((last[start], piece))
-                    if (self.weight(last[start], piece) if w is None else w) == 0.0:
-                        last[end], begin[end] = piece, start
+        score, pair, reach, n = self.model.score, self.pair, self.reach, len(part)
+        out: list[str] = []
+        dead: set[tuple[int, str]] = set()
+        at, last = 0, ""
+        size = reach.get(part[:2], 1) if n else 0
+        while at < n:
+            if size > n - at:
+                size = n - at
+            while size:
+                piece = part[at : at + size]
+                if size == 1 or piece in score:
+                    w = pair.get((last, piece))
+                    if (self.weight(last, piece) if w is None else w) == 0.0 and (not dead or (at + size, piece) not in dead):
                         break
-        out, at = [], n
-        while at > 0:
-            out.append(last[at])
-            at = begin[at]
-        return out[::-1]
+                size -= 1
+            if size:
+                out.append(piece)
+                at, last = at + size, piece
+                size = reach.get(part[at : at + 2], 1)
+            else:
+                piece = out.pop()
+                dead.add((at, piece))
+                at, last, size = at - len(piece), out[-1] if out else "", len(piece) - 1
+        return out
 
     def ids(self, part: str) -> bytes:
         """The path's ids as 32-bit integers, little-endian."""
