@@ -83,23 +83,35 @@ def anchors(items: DataFrame, k: int = SHINGLE) -> DataFrame:
     return near.select("word", "size", F.expr(f"slice(item, greatest(0, p - {k - 1}) + 1, least(p, n - 1) - greatest(0, p - {k - 1}) + 1)").alias("near")).distinct()
 
 
-def find_windows(docs: DataFrame, anchor: DataFrame, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, size, h): windows around a shared anchor shingle and their shingle hashes."""
+def find_windows(docs: DataFrame, anchor: DataFrame, most: int, scratch: Scratch, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, size, h): windows around a shared anchor shingle and their shingle hashes.
+
+    The words of all texts meet the anchor words without carrying their text
+    along.  Texts with a hit are then read once more, and each hit gets the words
+    around it, at most twice the largest item's.
+    """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    rows = text.select("doc_id", F.expr(words("text")).alias("w"))
-    hits = rows.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).join(small(anchor, 200_000)[0], "word")
-    around = f"slice(w, greatest(0, pos - {k - 1}) + 1, {2 * k - 1} + least(0, pos - {k - 1}))"
-    hits = hits.where(f"size < {k} or arrays_overlap(near, {shingles(around, k)})")
-    hits = hits.select("doc_id", "w", "size", F.explode(F.expr("if(size(w) <= size, array(0), sequence(greatest(0, pos - size + 1), least(pos, size(w) - size)))")).alias("start"))
-    part = hits.select("doc_id", "start", "size", F.expr("slice(w, start + 1, size)").alias("part"))
-    return part.select("doc_id", "start", "size", F.expr(shingles("part", k)).alias("h"))
+    text = text.withColumns({"own": F.coalesce("doc_id", F.lit(-(1 << 63))), "th": F.xxhash64("text")})
+    names, _ = small(anchor.select("word").distinct(), 200_000)
+    hits = text.select("own", "th", F.posexplode(F.expr(words("text"))).alias("pos", "word")).join(names, "word")
+    hits = scratch.keep(hits.groupBy("own", "th").agg(F.collect_set(F.struct("pos", "word")).alias("hits")), "hits")
+    rows = text.join(small(hits, 200_000)[0], ["own", "th"]).select("doc_id", "hits", F.expr(words("text")).alias("w"))
+    region = f"struct(x.pos as pos, x.word as word, greatest(0, x.pos - {most - 1}) as base, slice(w, greatest(0, x.pos - {most - 1}) + 1, {2 * most - 1} + least(0, x.pos - {most - 1})) as part)"
+    rows = rows.select("doc_id", F.size("w").alias("n"), F.inline(F.expr(f"transform(hits, x -> {region})")))
+    rows = rows.join(small(anchor, 200_000)[0], "word")
+    around = f"slice(part, greatest(0, pos - base - {k - 1}) + 1, {2 * k - 1} + least(0, pos - base - {k - 1}))"
+    rows = rows.where(f"size < {k} or arrays_overlap(near, {shingles(around, k)})")
+    rows = rows.select("doc_id", "size", "base", "part", F.explode(F.expr("if(n <= size, array(0), sequence(greatest(0, pos - size + 1), least(pos, n - size)))")).alias("start"))
+    rows = rows.select("doc_id", "start", "size", F.expr("slice(part, start - base + 1, size)").alias("part")).distinct()
+    return rows.select("doc_id", "start", "size", F.expr(shingles("part", k)).alias("h"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start): the best window of each item that a document leaks."""
     scratch = Scratch(docs.sparkSession, "leaks")
     items = scratch.keep(prepared(benchmark, k).withColumn("fp", F.expr(simhash("item"))), "items")
-    wins = find_windows(docs, scratch.keep(anchors(items, k), "anchors"), k, id_col, text_col)
+    most = items.agg(F.max("size")).first()[0] or 1
+    wins = find_windows(docs, scratch.keep(anchors(items, k), "anchors"), most, scratch, k, id_col, text_col)
     wins = scratch.keep(wins.withColumn("key", F.expr("xxhash64(h, size)")), "windows")
     texts = scratch.keep(wins.groupBy("size", "key").agg(F.any_value("h").alias("h")).withColumn("wfp", F.expr(simhash("h"))), "texts")
 
