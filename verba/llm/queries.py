@@ -109,6 +109,16 @@ def queries() -> dict:
 
 #: What DuckDB can express.  The others have tests against brute force.
 ORACLE = {
+    "op1_ngram_jaccard_join": """
+        with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') l from documents),
+        s as (select doc_id, case when len(l) = 0 then cast([] as varchar[]) when len(l) < 4 then [array_to_string(l, ' ')]
+                             else list_distinct(list_transform(range(1, len(l) - 2), lambda i: array_to_string(l[i:i + 3], ' '))) end s from w),
+        e as (select doc_id, unnest(s) g from s),
+        p as (select a.doc_id a, b.doc_id b, count(*) o from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+        k as (select a, b from p join s x on x.doc_id = a join s y on y.doc_id = b where 100 * o >= 85 * (len(x.s) + len(y.s) - o)),
+        u as (select a, b from k union all select b, a from k),
+        r as (select doc_id id, doc_id c from s union select u.a, r.c from r join u on u.b = r.id)
+        select doc_id, cast(any_value(len(s)) as bigint) n_shingles, min(c) component_id from s join r on r.id = doc_id group by doc_id""",
     "op7_exact_top_k": """
         with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
                    where vec_id is not null and embedding is not null and len(embedding) > 0
