@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verba import fixtures
 from verba.functions import dates, textnorm
 from verba.functions.textnorm import explode_tokens, with_tokens
-from verba.operators import analyzer, evaluate, gazetteer, ner
+from verba.operators import analyzer, evaluate, gazetteer, ner, relational_rules
 from verba.operators.lookup import Profile
 from verba.plans.rules import compile_book, load
 from verba.runtime import prepare
@@ -464,6 +464,115 @@ def golden_prf(spark, sf_dir):
     x = evaluate.rates(evaluate.strict_counts(*_scored(spark)))
     return x.select("type", F.round("precision", 6).alias("p"), F.round("recall", 6).alias("r"), F.round("f1", 6).alias("f1"))
 
+# -- more golden vectors and relational rule stages --------------------------------------------------
+
+_SPELLED = [("Ивановъ", "ивановъ", "иванов"), ("Покровскій", "покровский", "покровский"), ("Ѳеодоръ", "феодоръ", "феодор"), ("Iоаннъ", "иоаннъ", "иоанн"), ("Бѣлёвъ", "белевъ", "белев"), ("кр‐нин", "кр-нин", "кр-нин"), ("Mississippi", "mississippi", "mississippi"), ("Kот", "кот", "кот"), ("Kотw", "kотw", "kотw"), ("Санктъ-Петербургъ", "санктъ-петербургъ", "санкт-петербург")]
+
+
+@golden("text, spelled, word", lambda: _SPELLED)
+def orthography_prereform(spark, sf_dir):
+    df = prepare(spark).createDataFrame([(x[0],) for x in _SPELLED], "text string")
+    return textnorm.normalized(textnorm.normalized(df, "text", "spelled", word=False), "text", "word")
+
+
+_REPAIRED = [("Kот", "Kот/cyrillic/кот"), ("Kотw", "K/latin/k от/cyrillic/от w/latin/w"), ("Iоаннъ", "Iоаннъ/cyrillic/иоанн"), ("XIX-го", "XIX/latin/xix -/none/ го/cyrillic/го"), ("Kот-Smith", "Kот/cyrillic/кот -/none/ Smith/latin/smith"), ("αβγ", "αβγ/mixed/αβγ")]
+
+
+@golden("src, tokens", lambda: _REPAIRED)
+def homoglyph_repair(spark, sf_dir):
+    t = with_tokens(prepare(spark).createDataFrame([(x[0], x[0]) for x in _REPAIRED], "src string, text string"))
+    return t.select("src", F.array_join(F.transform("tokens", lambda x: F.concat_ws("/", x["raw"], x["script"], x["form"])), " ").alias("tokens"))
+
+
+_READINGS = [("кот", "base", "NOUN,anim,masc sing,nomn"), ("иван", "base", "NOUN,anim,masc,Name sing,nomn"), ("в", "base", "PREP"), ("с", "base", "PREP"), ("с", "abbrev", "NOUN,Abbr"), ("и", "base", "CONJ"), ("и", "base", "INTJ"), ("мороз", "surname", "Surn"), ("сурн", "base", "NOUN;Surname")]
+_READ_SQL = "(values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in _READINGS) + ") t(form, kind, tag)"
+
+
+@query(f"select form, kind, tag, kind <> 'base' or list_has_any(regexp_split_to_array(tag, '[,; ]'), ['Name', 'Surn', 'Patr']) keep from {_READ_SQL}")
+def profile_filter(spark, sf_dir):
+    df = prepare(spark).createDataFrame(_READINGS, "form string, kind string, tag string")
+    return df.withColumn("keep", relational_rules.keeps(F.col("kind"), F.col("tag"), {"base": ("Name", "Surn", "Patr")}))
+
+
+@query(f"select form, coalesce(bool_and(regexp_split_to_array(tag, '[,; ]')[1] in ('PREP', 'CONJ', 'PRCL', 'INTJ')) filter (where not list_contains(regexp_split_to_array(tag, '[,; ]'), 'Abbr')), false) stop from {_READ_SQL} group by 1")
+def stop_words(spark, sf_dir):
+    df = prepare(spark).createDataFrame(_READINGS, "form string, kind string, tag string")
+    return df.groupBy("form").agg(F.collect_list("tag").alias("tags")).select("form", relational_rules.all_service(F.col("tags")).alias("stop"))
+
+
+@query("""with o(id, a, b, c) as (values (1, ['x'], ['y'], ['z']), (2, ['a', 'b'], ['c', 'd'], ['e', 'f', 'g']), (3, ['p', 'q', 'r'], ['s', 't', 'u'], ['v'])),
+    f as (select id, a[i] || ' ' || b[j] || ' ' || c[k] key, row_number() over (partition by id order by i, j, k) n from o, unnest(range(1, len(a) + 1)) t(i), unnest(range(1, len(b) + 1)) u(j), unnest(range(1, len(c) + 1)) v(k))
+    select id, key, n::int n from f where n <= 8""")
+def lemma_combinations(spark, sf_dir):
+    rows = [(1, [["x"], ["y"], ["z"]]), (2, [["a", "b"], ["c", "d"], ["e", "f", "g"]]), (3, [["p", "q", "r"], ["s", "t", "u"], ["v"]])]
+    df = prepare(spark).createDataFrame(rows, "id int, options array<array<string>>")
+    return df.select("id", F.posexplode(F.expr(gazetteer._COMBINE)).alias("n", "k")).select("id", F.array_join("k", " ").alias("key"), (F.col("n") + 1).alias("n"))
+
+
+@query("""with s(name, w) as (values ('all', cast([] as varchar[])), ('old', ['period:old']), ('both', ['period:old', 'lang:ru'])), d(id, t) as (values (1, cast([] as varchar[])), (2, ['period:old']), (3, ['lang:ru', 'period:old']))
+    select id, name from s, d where list_has_all(t, w)""")
+def tag_activation(spark, sf_dir):
+    docs = prepare(spark).createDataFrame([(1, []), (2, ["period:old"]), (3, ["lang:ru", "period:old"])], "id int, tags array<string>")
+    return relational_rules.active(docs, {"all": (), "old": ("period:old",), "both": ("period:old", "lang:ru")}).select("id", "name")
+
+
+def _positions(spark, sf_dir) -> DataFrame:
+    t = doc_tokens(spark, sf_dir).withColumns({"term": F.col("form"), "lemmas": F.expr("array(named_struct('text', form, 'flags', 4, 'tag', '', 'kind', '', 'dict', ''))")})
+    return gazetteer.positions(t)
+
+
+_POS = f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) raw, unnest(range(1, len(regexp_extract_all(text, '{TOKEN}')) + 1)) idx from documents),
+    d as (select *, length(raw) = 1 and lead(raw) over w = '.' as short, sum((raw = '.')::int) over w dots, regexp_full_match(raw, '{WORD}|[0-9]+') word from t window w as (partition by doc_id order by idx)),
+    p as (select doc_id, raw, strip_accents(lower(raw)) f, row_number() over w pos, case when short then lead(idx) over w - idx - 1 = lead(dots) over w - dots else lead(idx) over w = idx + 1 end j from d where word window w as (partition by doc_id order by idx))"""
+
+
+@query(_POS + " select c.doc_id, count(*) hints from p k join p c on c.doc_id = k.doc_id and c.pos in (k.pos + 1, k.pos + 2) left join p m on m.doc_id = k.doc_id and m.pos = k.pos + 1 where k.f = 'the' and c.f = 'of' and k.j and (c.pos = k.pos + 1 or m.j) group by 1")
+def hint_boosts(spark, sf_dir):
+    """How often the keyword 'the' reaches the word 'of' within two words to the right."""
+    got = relational_rules.hint_boosts(_positions(spark, sf_dir), F.col("term") == "the", F.col("term") == "of", 2)
+    return got.groupBy("doc_id").agg(F.sum("hints").alias("hints"))
+
+
+@query(_POS + r""", u as (select *, regexp_full_match(raw, '\p{Lu}\p{Ll}*') ok from p), l as (select doc_id, f, j, lead(j) over w j2, lead(ok) over w o1, lead(ok, 2) over w o2 from u window w as (partition by doc_id order by pos))
+    select n::int n, count(*) c from (select case when j and o1 then case when j2 and o2 then 2 else 1 end else 0 end n from l where f in ('in', 'la', 'der', 'de')) where n >= 1 group by 1""")
+def trigger_candidates(spark, sf_dir):
+    """Up to two title-case words after a preposition or article."""
+    title = (F.col("kind") == "word") & F.col("raw").rlike(r"^\p{Lu}\p{Ll}*$")
+    got = relational_rules.trigger_ranges(_positions(spark, sf_dir), F.col("term").isin("in", "la", "der", "de"), title, 1, 2)
+    return got.groupBy((F.col("end") - F.col("start")).alias("n")).agg(F.count("*").alias("c"))
+
+
+@query("select p_partkey, round(((case when p_size % 2 = 0 then 3 else 2 end) * (p_size % 4 + 1) + 0.5 * (p_size % 4) + p_retailprice / 1000 - 0.25 * (greatest(p_size % 3, 1) - 1)) * 1e6) / 1e6 score from part")
+def span_scores(spark, sf_dir):
+    """The score formula over the rows of parts."""
+    p = table(spark, sf_dir, "part")
+    origin = F.when(F.col("p_size") % 2 == 0, 3.0).otherwise(2.0)
+    return p.select("p_partkey", relational_rules.score(origin, F.col("p_size") % 4 + 1, F.col("p_retailprice") / 1000, F.col("p_size") % 3).alias("score"))
+
+
+_CANDIDATES = [("a", 0, 2, "a", 5.0), ("a", 0, 1, "b", 3.0), ("a", 1, 2, "c", 3.0), ("b", 0, 2, "a", 4.0), ("b", 1, 3, "b", 3.0), ("c", 0, 1, "a", 0.0), ("c", 1, 2, "b", -1.0), ("d", 0, 1, "surname", 3.0), ("d", 0, 1, "patronymic", 3.0), ("e", 0, 1, "x", 1.0), ("e", 1, 2, "y", 1.5), ("e", 2, 3, "z", 1.0)]
+
+
+@golden("case_id, start, stop, type", lambda: [("a", 0, 1, "b"), ("a", 1, 2, "c"), ("b", 0, 2, "a"), ("d", 0, 1, "patronymic"), ("e", 0, 1, "x"), ("e", 1, 2, "y"), ("e", 2, 3, "z")])
+def resolve_golden(spark, sf_dir):
+    df = prepare(spark).createDataFrame(_CANDIDATES, "case_id string, start int, end int, type string, score double")
+    return relational_rules.resolve_flat(df, "case_id").select("case_id", "start", F.col("end").alias("stop"), "type")
+
+
+@golden("value", lambda: [('{"doc":"street","start":12,"end":26,"rune_start":7,"rune_end":15,"type":"street","surface":"ул. Мира","normal":["Мира"],"refs":["street:1"],"attrs":{},"flags":["abbrev"],"score":8.5,"alternatives":[]}',)])
+def span_jsonl(spark, sf_dir):
+    """One document's spans as JSON lines, without evidence."""
+    got = golden_results(prepare(spark)).where("doc_id = 'street'")
+    line = ner.span_json(got)
+    return line.select(F.regexp_replace("value", ',"evidence":\\[[^]]*\\]', "").alias("value"))
+
+
+@query("""with d(ord, name, kind, body) as (values (0, 'base.builtin', 'base', 'a' || chr(9) || 'b' || chr(9) || 'c' || chr(10)), (1, 'x.own', 'x', ''))
+    select 'on' state, sha256(string_agg(name || chr(9) || kind || chr(9) || sha256(body) || chr(10), '' order by ord)) v from d union all select 'off', sha256(name || chr(9) || kind || chr(9) || sha256(body) || chr(10)) from d where ord = 0""")
+def dictionary_version(spark, sf_dir):
+    c = dictionaries.Catalog.open(prepare(spark), base=[("a", "b", "c")], builtins={"x.own": []}, kinds=["x"])
+    return spark.createDataFrame([("on", c.version()), ("off", c.set_enabled("x.own", False).version())], "state string, v string")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query: entity spans over all documents."""
