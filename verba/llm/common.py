@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import math
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -52,13 +53,15 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Delete this session's scratch folder."""
-    try:
-        app = spark.sparkContext.applicationId
-        if app in _ROOTS:
-            remove(spark, _ROOTS.pop(app)[1])
-    except Exception:  # the session may be gone when the process ends
-        pass
+    """Delete this session's scratch folders; a stopped session's only where they are local files."""
+    for app, (own, root) in list(_ROOTS.items()):
+        if own is spark:
+            del _ROOTS[app]
+            try:
+                remove(spark, root)
+            except Exception:  # the session is gone
+                if root.startswith("file:"):
+                    shutil.rmtree(root[5:].replace("//", "/", 1), ignore_errors=True)
 
 
 class Scratch:
