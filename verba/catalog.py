@@ -533,12 +533,12 @@ def hint_boosts(spark, sf_dir):
     return got.groupBy("doc_id").agg(F.sum("hints").alias("hints"))
 
 
-@query(_POS + r""", u as (select *, regexp_full_match(raw, '\p{Lu}\p{Ll}*') ok from p), l as (select doc_id, f, j, lead(j) over w j2, lead(ok) over w o1, lead(ok, 2) over w o2 from u window w as (partition by doc_id order by pos))
+@query(_POS + r""", u as (select *, regexp_full_match(raw, '\p{Ll}{9,}') ok from p), l as (select doc_id, f, j, lead(j) over w j2, lead(ok) over w o1, lead(ok, 2) over w o2 from u window w as (partition by doc_id order by pos))
     select n::int n, count(*) c from (select case when j and o1 then case when j2 and o2 then 2 else 1 end else 0 end n from l where f in ('in', 'la', 'der', 'de')) where n >= 1 group by 1""")
 def trigger_candidates(spark, sf_dir):
-    """Up to two title-case words after a preposition or article."""
-    title = (F.col("kind") == "word") & F.col("raw").rlike(r"^\p{Lu}\p{Ll}*$")
-    got = relational_rules.trigger_ranges(_positions(spark, sf_dir), F.col("term").isin("in", "la", "der", "de"), title, 1, 2)
+    """Up to two long lower-case words after a preposition or article."""
+    long_word = (F.col("kind") == "word") & F.col("raw").rlike(r"^\p{Ll}{9,}$")
+    got = relational_rules.trigger_ranges(_positions(spark, sf_dir), F.col("term").isin("in", "la", "der", "de"), long_word, 1, 2)
     return got.groupBy((F.col("end") - F.col("start")).alias("n")).agg(F.count("*").alias("c"))
 
 
