@@ -128,8 +128,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows that leak no item; rows with a null id are judged by their text's own windows, so all stay or go together."""
-    found = leaks(docs, benchmark, **how).select(F.col("doc_id")).distinct()
-    side, _ = small(found)
-    return docs.join(side, docs["doc_id"].cast("long").eqNullSafe(side["doc_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """The rows whose text leaks no item; equal texts are judged once, whatever their ids."""
+    th = F.xxhash64(F.col(text_col).cast("string"))
+    found = leaks(docs.select(th.alias("doc_id"), F.col(text_col).alias("text")), benchmark, **how).select(F.col("doc_id").alias("leaking")).distinct()
+    return docs.join(small(found)[0], th == F.col("leaking"), "left_anti")

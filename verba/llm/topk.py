@@ -17,7 +17,8 @@ checked bound, else joined by a shuffle.
 Defined results: a vector that is null, empty or holds null or non-finite
 components takes no part, nor a row with a null id.  Vectors of other lengths
 than the query's are no candidates of it.  Rows that repeat a query's id are not
-its candidates; other repeated rows rank as rows of their own.  Components whose
+its candidates, and a query that stands twice counts once; other repeated rows
+rank as rows of their own.  Components whose
 scaled floor is beyond 2**31 raise ``OverflowError``, as the score must fit a
 64-bit integer.
 """
@@ -125,7 +126,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     scratch = Scratch(spark, "topk")
     pick = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    packs = pick(queries).mapInArrow(_pack(scale, QUERIES), PACK).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    packs = pick(queries).dropDuplicates().mapInArrow(_pack(scale, QUERIES), PACK).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
     packs = scratch.keep(packs.withColumn("qb", F.monotonically_increasing_id()), "queries")
     names, total = packs.select("qb", "dim"), packs.agg(F.sum(F.octet_length("q_data") + F.octet_length("q_ids"))).first()[0] or 0
     rows = pick(vectors).mapInArrow(_pack(scale, ROWS), PACK)
