@@ -310,6 +310,11 @@ def part_entries(spark, sf_dir) -> DataFrame:
     return p.select(F.lit("part").alias("source"), "entry_ord", F.col("p_name").alias("alias"), F.lit("part").alias("type"), "ref", F.lit("").alias("canonical"), F.expr("cast(map() as map<string,string>)").alias("attrs"), F.lit(0).alias("flags"))
 
 
+def rows_apart(docs: DataFrame) -> DataFrame:
+    """The documents with ``doc``, which tells rows apart whose id is null or repeats."""
+    return docs.withColumn("doc", F.struct("doc_id", F.monotonically_increasing_id().alias("row")))
+
+
 def no_forms(spark) -> DataFrame:
     return prepare(spark).createDataFrame([], dictionaries.FORMS_SCHEMA)
 
@@ -345,18 +350,15 @@ def surface_matches(spark, sf_dir):
     k as (select distinct a.m || ' ' || b.m key from o a join o b on a.doc_id = b.doc_id and b.i = a.i + 1 where a.doc_id % 50 = 0 and length(a.m) = 4 and length(b.m) = 4)
     select a.doc_id, a.m || ' ' || b.m key, count(*) n from o a join o b on a.doc_id = b.doc_id and b.i = a.i + 1 join k on k.key = a.m || ' ' || b.m group by 1, 2""")
 def lemma_matches(spark, sf_dir):
-    """Lemma pairs as keys, matched over ambiguous words by the level-wise trie join.
-
-    The keys are a sample on purpose (every fiftieth text's pairs); all texts are matched.
-    """
-    docs = table(spark, sf_dir, "documents").select("doc_id", cyr().alias("text"))
+    """All lemma pairs of all texts as keys, matched over ambiguous words by the level-wise trie join."""
+    docs = rows_apart(table(spark, sf_dir, "documents")).select("doc", cyr().alias("text"))
     t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN)
-    pos = gazetteer.positions(t)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    near = pos.where("doc_id % 50 = 0").withColumn("next", F.lead("options").over(w)).where("next is not null")
-    keys = near.select(F.explode("options").alias("a"), "next").select("a", F.explode("next").alias("b")).where("char_length(a) = 4 and char_length(b) = 4").select(F.concat_ws(" ", "a", "b").alias("key")).distinct()
-    hits = gazetteer.lemma_matches(pos, keys.select("key", F.lit("lemma").alias("key_kind"), F.col("key").alias("alias_id"), F.lit(2).alias("n_words")))
-    return hits.groupBy("doc_id", F.col("alias_id").alias("key")).agg(F.count("*").alias("n"))
+    pos = gazetteer.positions(t, "doc")
+    w = Window.partitionBy("doc").orderBy("pos")
+    near = pos.withColumn("next", F.lead("options").over(w)).where("not brk")
+    keys = near.select(F.explode("options").alias("a"), "next").select("a", F.explode("next").alias("b")).select(F.concat_ws(" ", "a", "b").alias("key")).distinct()
+    hits = gazetteer.lemma_matches(pos, keys.select("key", F.lit("lemma").alias("key_kind"), F.col("key").alias("alias_id"), F.lit(2).alias("n_words")), "doc")
+    return hits.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("alias_id").alias("key")).agg(F.count("*").alias("n"))
 
 
 def nation_entries(spark, sf_dir) -> DataFrame:
