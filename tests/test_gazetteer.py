@@ -20,3 +20,18 @@ def test_lemma_pairs_of_all_texts(spark, tmp_path):
         want.update((i, f"{a} {b}") for x, y in zip(options, options[1:], strict=False) for a in x for b in y)
     got = {(r["doc_id"], r["key"]): r["n"] for r in catalog.lemma_matches(spark, corpus(spark, tmp_path, rows)).collect()}
     assert got == want and {i for i, _ in got} == {1, 50, 7, None}
+
+
+def test_surface_runs_of_all_texts(spark, tmp_path):
+    rows = [(i, "Der Wald ist. tief", "de") for i in range(19)] + [(40, "der wald ist", None), (None, "der wald", "fr"), (None, "ist tief", "en"), (41, "the ist", "en"), (42, None, "en"), (43, "Ist", "es"), (43, "der", "es")]
+    own = collections.Counter()
+    for i, text, _ in rows:
+        for part in (text or "").lower().split("."):
+            w = part.split()
+            own.update((i, " ".join(w[s : s + n])) for n in (1, 2, 3) for s in range(len(w) - n + 1))
+    total = collections.Counter()
+    for (_, k), n in own.items():
+        total[k] += n
+    want = {(i, k): n for (i, k), n in own.items() if total[k] >= 20}
+    got = {(r["doc_id"], r["alias"]): r["n"] for r in catalog.surface_matches(spark, corpus(spark, tmp_path, rows)).collect()}
+    assert got == want and {k for _, k in got} == {"der", "wald", "ist", "tief", "der wald", "wald ist", "der wald ist"}

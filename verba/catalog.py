@@ -334,14 +334,13 @@ _FREQ = f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')
 
 @query(_FREQ + " select doc_id, k alias, count(*) n from (select doc_id, f || ' ' || nf k from c where nw) join b using (k) group by 1, 2")
 def surface_matches(spark, sf_dir):
-    """Frequent pairs of words as aliases, matched in all English texts."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text")
+    """Runs of one to three words that occur 20 times or more as aliases, matched in all texts."""
+    docs = rows_apart(table(spark, sf_dir, "documents")).select("doc", "text")
     t = explode_tokens(with_tokens(docs)).withColumns({"term": F.col("form"), "lemmas": F.expr("array(named_struct('text', form, 'flags', 4, 'tag', '', 'kind', '', 'dict', ''))")})
-    pos = gazetteer.positions(t)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = pos.withColumn("next", F.lead("term").over(w)).where("not brk").groupBy(F.concat_ws(" ", "term", "next").alias("key")).agg(F.count("*").alias("n")).where("n >= 20")
-    hits = gazetteer.surface_matches(pos, pairs.select("key", F.col("key").alias("alias_id"), F.lit("surface").alias("key_kind")), 2)
-    return hits.groupBy("doc_id", F.col("alias_id").alias("alias")).agg(F.count("*").alias("n"))
+    pos = gazetteer.positions(t, "doc")
+    aliases = gazetteer.runs(pos, 3, "doc").groupBy("key").agg(F.count("*").alias("n")).where("n >= 20")
+    hits = gazetteer.surface_matches(pos, aliases.select("key", F.col("key").alias("alias_id"), F.lit("surface").alias("key_kind")), 3, "doc")
+    return hits.groupBy(F.col("doc.doc_id").alias("doc_id"), F.col("alias_id").alias("alias")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with t as (select doc_id, {CYR_SQL} c from documents), s as (select doc_id, list_filter(string_split(c, ' '), lambda x: x <> '') l from t),

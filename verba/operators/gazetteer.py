@@ -74,22 +74,22 @@ def positions(terms: DataFrame, by: str = "doc_id") -> DataFrame:
     return words.withColumns({"pos": F.row_number().over(w) - 1, "brk": ~F.coalesce(joined, F.lit(False))})
 
 
-def surface_matches(pos: DataFrame, alias_keys: DataFrame, longest: int, by: str = "doc_id") -> DataFrame:
-    """(doc, start, end, alias_id): runs of forms that are a surface key (OP-68).
-
-    Each word makes its runs of up to ``longest`` words by look-ahead in its own
-    text; one equi-join with the keys finds the matches.
-    """
+def runs(pos: DataFrame, longest: int, by: str = "doc_id") -> DataFrame:
+    """(doc, pos, n, key): each word's runs of up to ``longest`` words, by look-ahead in its own text."""
     w = Window.partitionBy(by).orderBy("pos")
     run, open_ = F.col("term"), F.lit(True)
-    runs = [F.struct(F.lit(1).alias("n"), run.alias("key"))]
+    own = [F.struct(F.lit(1).alias("n"), run.alias("key"))]
     for n in range(1, longest):
         open_ = open_ & ~F.coalesce(F.lag("brk", -(n - 1)).over(w) if n > 1 else F.col("brk"), F.lit(True))
         run = F.concat_ws(" ", run, F.lead("term", n).over(w))
-        runs.append(F.when(open_, F.struct(F.lit(n + 1).alias("n"), run.alias("key"))))
-    grams = pos.select(by, "pos", F.array_compact(F.array(*runs)).alias("runs")).select(by, "pos", F.inline("runs"))
+        own.append(F.when(open_, F.struct(F.lit(n + 1).alias("n"), run.alias("key"))))
+    return pos.select(by, "pos", F.array_compact(F.array(*own)).alias("runs")).select(by, "pos", F.inline("runs"))
+
+
+def surface_matches(pos: DataFrame, alias_keys: DataFrame, longest: int, by: str = "doc_id") -> DataFrame:
+    """(doc, start, end, alias_id): runs of forms that are a surface key, by one equi-join (OP-68)."""
     own = alias_keys.where("key_kind = 'surface'").select("key", "alias_id")
-    return grams.join(own, "key").select(by, F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end"), "alias_id")
+    return runs(pos, longest, by).join(own, "key").select(by, F.col("pos").alias("start"), (F.col("pos") + F.col("n")).alias("end"), "alias_id")
 
 
 def lemma_matches(pos: DataFrame, alias_keys: DataFrame, by: str = "doc_id") -> DataFrame:
