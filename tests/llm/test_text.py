@@ -69,6 +69,23 @@ def test_markup(page, want):
     assert html_diff.main_text([z for z, _ in own], [t for _, t in own], [hash(t) for _, t in own], None) == want
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>A</p><script>for(i=0;i<n;i++){x(i)}</script><p>B</p></article>", "A\nB"),
+        ("<article><p>A</p><STYLE>a{content:'<b'}</STYLE ><p>B</p><script>if(a<b)'</p>'", "A\nB"),
+        ("<head><title>the <script> element</title></head><article>A<script src='x'/>B</article>", "AB"),
+        ("<div class='layout has-sidebar'><nav>n</nav><article><p>A<p>B</article><div class='sidebar'>s</div></div>", "A\nB"),
+        ("<div id='search-results'>x<div role='main'>A</div></div>", "A"),
+        ("<article>A<section class='comments'><article>c</article></section></article><div class='related'><article>r</article></div>", "A"),
+        ("<div class='has-sidebar'><main>A</main><div class='related'><article>r</article></div></div><aside><article>s</article></aside>", "A"),
+    ],
+)
+def test_raw_text_and_marked_wrappers(page, want):
+    own = [x for x in html_diff.lines(page) if x[0] != html_diff.FURNITURE]
+    assert html_diff.main_text([z for z, _ in own], [t for _, t in own], [hash(t) for _, t in own], None) == want
+
+
 def test_common_lines():
     rnd = random.Random(1)
 
