@@ -157,3 +157,12 @@ def test_leaks_against_brute_force(frame, spark):
     kept = {r["doc_id"] for r in decontaminate.clean(frame(docs), bench).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
     assert decontaminate.leaks(frame(docs), bench.where("item_id < 0")).count() == 0
+
+
+def test_leaks_of_items_without_id(frame, spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(20))
+    docs = [(1, "before " + text(1)), (2, text(2)), (3, text(3)), (4, "other words")]
+    bench = spark.createDataFrame([(None, text(1)), (None, text(2)), (7, text(3))], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"]) for r in decontaminate.leaks(frame(docs), bench).collect()}
+    assert got == {(1, None, 1), (2, None, 0), (3, 7, 0)}
+    assert {r["doc_id"] for r in decontaminate.clean(frame(docs), bench).collect()} == {4}

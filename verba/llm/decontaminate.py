@@ -25,7 +25,8 @@ beyond four deviations.  Item tables are broadcast only within a counted bound.
 
 Defined results: null or empty texts and items have no words and leak nothing;
 items that repeat (id and text) count once; of an item's equal windows the first
-is reported.  Rows with a null id are reported under null; repeated rows once.
+is reported.  Documents with a null id are reported under null, as are items with a
+null id; repeated rows once.
 Extra columns are ignored.
 """
 
@@ -65,10 +66,10 @@ def similarity(a: str, b: str) -> str:
 
 
 def prepared(benchmark: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(item_id, size, iw, n, item) with words and shingle hashes."""
+    """(item_key, item_id, size, iw, n, item) with words and shingle hashes; the key is never null and tells items of one id apart."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     items = items.select("item_id", F.expr(words("text")).alias("iw")).where("size(iw) > 0").distinct()
-    return items.select("item_id", "iw", F.size("iw").alias("size"), F.greatest(F.size("iw") - (k - 1), F.lit(1)).alias("n"), F.expr(shingles("iw", k)).alias("item"))
+    return items.select(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "iw").alias("item_key"), "item_id", "iw", F.size("iw").alias("size"), F.greatest(F.size("iw") - (k - 1), F.lit(1)).alias("n"), F.expr(shingles("iw", k)).alias("item"))
 
 
 def anchors(items: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -116,12 +117,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
     texts = scratch.keep(wins.groupBy("size", "key").agg(F.any_value("h").alias("h")).withColumn("wfp", F.expr(simhash("h"))), "texts")
 
     block = lambda fp: F.expr(f"transform(sequence(0, {BLOCKS - 1}), j -> struct(j, cast(shiftright({fp}, j * {BITS}) & {(1 << BITS) - 1} as int) as v))")
-    own = items.select("item_id", "item", "size", "fp", F.inline(block("fp")))
-    own = own.select("item_id", "item", "size", "fp", "j", F.explode(F.expr(f"filter(sequence(0, {(1 << BITS) - 1}), u -> bit_count(u ^ v) <= {RADIUS // BLOCKS})")).alias("v"))
+    own = items.select("item_key", "size", "fp", F.inline(block("fp")))
+    own = own.select("item_key", "size", "fp", "j", F.explode(F.expr(f"filter(sequence(0, {(1 << BITS) - 1}), u -> bit_count(u ^ v) <= {RADIUS // BLOCKS})")).alias("v"))
     seen = texts.select("size", "key", "h", "wfp", F.inline(block("wfp")))
-    near = seen.join(small(own.select("item_id", "size", "fp", "j", "v"), 400_000)[0], ["size", "j", "v"]).where(f"bit_count(wfp ^ fp) <= {RADIUS}")
-    near = near.groupBy("size", "key", "item_id").agg(F.any_value("h").alias("h"))
-    found = near.join(small(items.select("item_id", "size", "item"), 20_000)[0], ["item_id", "size"]).withColumn("similarity", F.expr(similarity("h", "item")))
+    near = seen.join(small(own.select("item_key", "size", "fp", "j", "v"), 400_000)[0], ["size", "j", "v"]).where(f"bit_count(wfp ^ fp) <= {RADIUS}")
+    near = near.groupBy("size", "key", "item_key").agg(F.any_value("h").alias("h"))
+    found = near.join(small(items.select("item_key", "item_id", "size", "item"), 20_000)[0], ["item_key", "size"]).withColumn("similarity", F.expr(similarity("h", "item")))
     found = scratch.keep(found.where(F.col("similarity") >= least).select("size", "key", "item_id", "similarity"), "found")
     hit = wins.select("doc_id", "start", "size", "key").join(small(found)[0], ["size", "key"])
     best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
