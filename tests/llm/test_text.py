@@ -151,6 +151,16 @@ def test_machine(frame):
     assert {r["score"] for r in quality_fm.score(frame([(1, None), (2, "")]), None, ["doc_id"]).collect()} == {0.5}
 
 
+def test_sample_with_copies(frame):
+    rows = frame([(i, "one text") for i in range(300)] + [(1000 + i, f"text {i}") for i in range(300)]).select("text", F.lit(1.0).alias("y"), "doc_id")
+    for by in (["text"], ["text", "doc_id"]):
+        for most in (1, 100, 350, 600, 700):
+            got = quality_fm.sample(rows, most, *by).collect()
+            assert len(got) == min(most, 600)
+    ids = {r["doc_id"] for r in quality_fm.sample(rows, 200, "text", "doc_id").collect()}
+    assert len(ids) == 200 and 60 < sum(i < 300 for i in ids) < 140
+
+
 def test_search(spark):
     rng = np.random.default_rng(4)
     vecs = [(i, [float(np.float32(x)) for x in rng.normal(0, 0.3, 12)]) for i in range(0, 700, 7)]

@@ -159,18 +159,38 @@ def _features(buckets: int):
     return run
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS, rank: int = RANK) -> Machine | None:
-    """A machine from ``labelled(text, y)``, y 0 or 1; other labels are ignored."""
-    rows = labelled.where("y in (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("y").cast("double").alias("y"))
-    picks = rows.select(F.xxhash64("text").alias("h")).groupBy(F.floor((F.col("h") / F.lit(2.0**63) + 1) * 8192).alias("slot")).count().orderBy("slot").collect()  # 16384 slots at most
-    total = sum(r["count"] for r in picks)
-    last, held = 16384, 0
+def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
+    """The ``most`` rows of least hash of the columns ``by``, or all if there are no more.
+
+    Slots of hashes are counted first, so that only the slot where the sample ends is ordered.
+    """
+    rows = rows.withColumn("h", F.xxhash64(*by)).withColumn("slot", F.floor((F.col("h") / F.lit(2.0**63) + 1) * 8192))
+    picks = rows.groupBy("slot").count().orderBy("slot").collect()  # 16385 slots at most
+    if sum(r["count"] for r in picks) <= most:
+        return rows.drop("h", "slot")
+    held = 0
     for r in picks:
-        held += r["count"]
-        if held > max_train and total > max_train:
-            last = r["slot"]
+        if held + r["count"] > most:
             break
-    rows = rows.where(F.floor((F.xxhash64("text") / F.lit(2.0**63) + 1) * 8192) < last) if total > max_train else rows
+        held += r["count"]
+    ends = rows.where(F.col("slot") == r["slot"])
+    hashes = [x["h"] for x in ends.select("h").orderBy("h").limit(most - held).collect()]
+    if not hashes:
+        return rows.where(F.col("slot") < r["slot"]).drop("h", "slot")
+    # rows of the last hash are copies of each other
+    last = max(hashes)
+    ties = ends.where(F.col("h") == last).orderBy("y").limit(hashes.count(last))
+    return rows.where((F.col("slot") < r["slot"]) | ((F.col("slot") == r["slot"]) & (F.col("h") < last))).unionByName(ties).drop("h", "slot")
+
+
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKETS, rank: int = RANK) -> Machine | None:
+    """A machine from ``labelled(text, y)``, y 0 or 1; other labels are ignored.
+
+    Further columns tell copies of a text apart, so that the sample draws among them.
+    """
+    keys = [c for c in labelled.columns if c not in ("text", "y")]
+    rows = labelled.where("y in (0, 1)").select(F.col("text").cast("string").alias("text"), F.col("y").cast("double").alias("y"), *keys)
+    rows = sample(rows, max_train, "text", *keys).select("text", "y")
     got = rows.mapInArrow(_features(buckets), "y double, cols array<int>, vals array<float>, stats array<double>").toArrow()
     if not got.num_rows:
         return None

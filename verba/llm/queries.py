@@ -70,12 +70,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, y) of the labelled documents that are not held out, one row per id."""
+    """(text, y, doc_id) of the labelled documents that are not held out, one label per id."""
     from verba.llm.common import small
 
     y = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("y"))
     side, _ = small(y)
-    return docs.select("doc_id", "text").join(side, "doc_id").select("text", "y")
+    return docs.select("doc_id", "text").join(side, "doc_id").select("text", "y", "doc_id")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
