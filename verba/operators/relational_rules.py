@@ -1,7 +1,9 @@
-"""Rule stages that need no order within a document, as joins and folds (OP-47, OP-48, OP-62, OP-71 to OP-75, OP-81 to OP-85).
+"""Rule stages that need no order within a document, as joins and folds (OP-47, OP-48, OP-62, OP-71 to OP-75, OP-84, OP-85).
 
 The document kernel runs rules that absorb words; hints and triggers without
-absorbing, filters, scores and choices without nesting are relational.
+absorbing, reading filters, scores and choices without nesting are relational.
+Candidates and their early and context filters (OP-81 to OP-83) are in the kernel
+(``verba/plans/document.py``) only.
 """
 
 from __future__ import annotations
