@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
@@ -54,6 +55,7 @@ def corpus(seed, n, group):
 
 def test_join_against_brute_force(frame, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
     rows = corpus(1, 120, 90)
     for k, num, den in ((4, 85, 100), (5, 80, 100)):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(rows), k, num, den).collect()}
@@ -67,6 +69,41 @@ def test_join_edges(frame):
     assert ngram_join.ngram_components(frame(rows).where("doc_id > 99"), 4, 85, 100).count() == 0
 
 
+def test_join_of_one_id_with_two_texts(frame):
+    words = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b = words("a", 60), words("b", 90)
+    rows = [(5, a), (5, b), (7, a + " q"), (9, b + " q"), (11, words("c", 20)), (12, "z" * 5000 + " " + words("d", 40000)), (13, words("d", 40000))]
+    docs = frame(rows).withColumns({c: F.lit("x") for c in ("cid", "n", "fp1", "id", "component_id", "s")})
+    got = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(docs, 4, 85, 100).collect())
+    assert got == [(5, 5), (5, 5), (7, 5), (9, 5), (11, 11), (12, 12), (13, 12)]
+
+
+def test_columns_over_batches():
+    rnd = random.Random(4)
+    posts = sorted((rnd.choice([1, 2, 3, 4, 5, 6] + [7] * 8 + [8] * 3), i) for i in range(150))
+    rows = pa.RecordBatch.from_pydict({"s": pa.array([s for s, _ in posts]), "cid": pa.array([i for _, i in posts]), "n": pa.array([10] * len(posts)), "pos": pa.array([0] * len(posts), pa.int32())})
+    size = collections.Counter(s for s, _ in posts)
+    want_long = {(i, s) for s, i in posts if size[s] > ngram_join.SHORT}
+    want = {(a, b) for s, a in posts for t, b in posts if s == t and a < b and size[s] <= ngram_join.SHORT}
+    assert want and want_long
+    for step in (1, 7, 40, 200):
+        out = [r for b in ngram_join._columns(85, 100)(rows.slice(i, step) for i in range(0, len(posts), step)) for r in b.to_pylist()]
+        assert sorted((r["cid"], r["other"]) for r in out if r["other"] is not None) == sorted(want)
+        assert sorted((r["cid"], r["s"]) for r in out if r["other"] is None) == sorted(want_long)
+
+
+def test_bitmaps_bound_the_difference(spark):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for n in (1, 30, 64, 65, 200, 1000):
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        for cut, add in ((0, 0), (n // 10, n // 10), (n // 3, 0), (0, n // 2)):
+            b = np.unique(np.concatenate([a[cut:], rnd.integers(0, 1 << 63, add + (cut == n)).astype(np.uint64)]))
+            rows.append((ngram_join.bitmap(a).tolist(), ngram_join.bitmap(b).tolist(), len(np.setxor1d(a, b))))
+    got = spark.createDataFrame(rows, "ma array<long>, mb array<long>, d long").selectExpr("d", f"{ngram_join.DIFFER} as x").collect()
+    assert all(r["x"] <= r["d"] for r in got) and sum(r["x"] > r["d"] / 3 for r in got) > 12
+
+
 def test_blocks():
     rnd = np.random.default_rng(3)
     sets = [np.unique(rnd.integers(0, 60, 30).astype(np.uint64)) for _ in range(12)]

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def test_pieces(lib, frame):
         ids = lib.encode(x)
         assert t.encode(x).tolist() == ids, x
         assert t.decode(ids) == lib.decode(ids), x
-    assert t.path("▁nothing") == lib.encode("nothing", out_type=str)
+    assert [t.weights.name(x) for x in t.shortest("▁nothing")] == lib.encode("nothing", out_type=str)
     docs = frame([(1, "to be"), (2, None), (3, ""), (None, "x"), (1, "to be")])
     enc = encode_documents(docs, public.path(MODEL))
     got = sorted(((r["doc_id"], r["ids"], r["n_tokens"]) for r in enc.collect()), key=str)
@@ -139,8 +140,7 @@ def test_machine(frame):
     m = quality_fm.train(docs.where("doc_id < 160").select("text", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("y")))
     s = {r["doc_id"]: r["score"] for r in quality_fm.score(docs, m, ["doc_id"]).collect()}
     assert all(0 <= x <= 1 for x in s.values()) and np.mean([(s[i] >= 0.5) == (i % 3 != 0) for i in range(160, 240)]) > 0.97
-    cache = quality_fm.Buckets(quality_fm.BUCKETS)
-    x = quality_fm.rows_of(["a b a", "", None], quality_fm.BUCKETS, cache)
+    x = quality_fm.rows_of(pa.array(["a b a", "", None]), quality_fm.BUCKETS)
     dense = np.zeros((3, len(m.w)))
     for i in range(3):
         dense[i, x[1][x[0][i] : x[0][i + 1]]] = x[2][x[0][i] : x[0][i + 1]]

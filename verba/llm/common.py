@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import math
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +79,13 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, *names: str) -> None:
+    def drop(self, *names: str, files: bool = True) -> None:
+        """Delete tables; with ``files``, shuffle files of the jobs that wrote them may go too."""
         for name in names:
             remove(self.spark, f"{self.root}/{name}")
-
-
-def arrow(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+        if files:  # Spark deletes shuffle files when the driver has collected the plans that hold them
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -97,34 +96,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
 # --------------------------------------------------------------------------
 # words and shingles
 
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
+#: Bytes of text whose words are hashed at once, and bytes up to which a word is hashed letter by letter.
+PIECE, LETTERS = 1 << 18, 255
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                   0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
-class HashCache(dict):
-    """Word -> 64-bit hash, forgetting all when it holds too many words."""
-
-    def __init__(self, most: int = 1 << 19):
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z lowered; split at space and U+0009..U+000D only."""
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-
-
-def word_hashes(text: str | None, cache: HashCache) -> np.ndarray:
-    w = words(text)
-    return np.fromiter(map(cache.__getitem__, w), np.uint64, len(w))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of splitmix64."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -132,21 +111,110 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_LETTER = mix(np.arange(1, 257, dtype=np.uint64) * _MULT[0])
+_POWER = np.cumprod(np.array([1, *[0xD6E8FEB86659FD95] * LETTERS], np.uint64))
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts that lie one after another in ``data``, and each text's end among them.
+
+    Words end at space, U+0009..U+000D and a text's end; ``lower`` lowers A-Z.  No
+    object is made for a word, and nothing is remembered between calls.
+    """
+    if lower:
+        data = _LOWER[data]
+    space = _SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[ends], edge[0] = True, True
+    begins = np.flatnonzero(~space & (np.concatenate([[True], space[:-1]]) | edge[:-1]))
+    if not len(begins):
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    stops = np.flatnonzero(~space & (np.concatenate([space[1:], [True]]) | edge[1:])) + 1
+    size = stops - begins
+    own = np.flatnonzero(~space)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    place = np.arange(len(own)) - np.repeat(first, size)
+    h = np.add.reduceat(_LETTER[data[own]] * _POWER[np.minimum(place, LETTERS)], first)
+    h = mix(h + size.astype(np.uint64) * _MULT[1])
+    for i in np.flatnonzero(size > LETTERS):
+        h[i] = xxhash.xxh3_64_intdigest(data[begins[i] : stops[i]].tobytes())
+    return h, np.searchsorted(begins, ends)
+
+
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each window of k words; of the whole sequence if it is shorter."""
     if len(h) == 0:
         return h
-    with np.errstate(over="ignore"):
-        width = min(k, len(h))
-        out = np.full(len(h) - width + 1, width, np.uint64)
-        for j in range(width):
-            out = (out * _MULT[j % 8]) ^ mix(h[j : j + len(out)] + np.uint64(j))
-        return mix(out)
-
-
-def shingle_set(text: str | None, k: int, cache: HashCache) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    return np.unique(shingles(word_hashes(text, cache), k))
+    width = min(k, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
+    for j in range(width):
+        out = (out * _MULT[j % 8]) ^ mix(h[j : j + len(out)] + np.uint64(j))
+    return mix(out)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each value once."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) > 1 else h
+
+
+def _long(data: np.ndarray, lower: bool) -> np.ndarray:
+    """Word hashes of one long text, cut at white space into pieces that are hashed one after another."""
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + PIECE)
+        if end < len(data):
+            gap = np.flatnonzero(_SPACE[data[at:end]])
+            if len(gap):
+                end = at + int(gap[-1]) + 1
+            else:  # a word that is longer than a piece
+                step, found = end, None
+                while step < len(data) and found is None:
+                    more = np.flatnonzero(_SPACE[data[step : step + PIECE]])
+                    found = step + int(more[0]) if len(more) else None
+                    step += PIECE
+                end = len(data) if found is None else found
+        out.append(word_hashes(data[at:end], np.array([end - at]), lower)[0])
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def hashed(texts: pa.Array, lower: bool = True):
+    """(bytes, ends of the texts in them, word hashes, ends of the texts in these) of groups of texts, in order.
+
+    Null texts are empty.  A group is at most ``PIECE`` bytes, or one longer text.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    if not len(texts):
+        return
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1
+        if end > at:
+            part, ends = data[offsets[at] : offsets[end]], offsets[at + 1 : end + 1] - offsets[at]
+            yield part, ends, *word_hashes(part, ends, lower)
+        else:
+            end = at + 1
+            part = data[offsets[at] : offsets[end]]
+            h = _long(part, lower)
+            yield part, np.array([len(part)]), h, np.array([len(h)])
+        at = end
+
+
+def shingle_sets(texts: pa.Array, k: int):
+    """The sorted distinct shingle hashes of each text of a column, in order; null and empty texts have none."""
+    for _, _, h, stops in hashed(texts):
+        whole, begin = shingles(h, k), 0
+        for stop in stops.tolist():
+            yield distinct(whole[begin : stop - k + 1] if stop - begin >= k else shingles(h[begin:stop], k))
+            begin = stop
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct shingle hashes of one whole text."""
+    return next(shingle_sets(pa.array([text], pa.string()), k))
 
 
 # --------------------------------------------------------------------------
@@ -172,7 +240,7 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         e2 = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
         e2 = scratch.keep(e2.where("a <> b").distinct(), f"cc{i}")
         now = e2.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"cc{i - 1}")
+        scratch.drop(f"cc{i - 1}", files=False)
         e = e2
         if now == before:
             break
@@ -185,25 +253,3 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
 
 def ceil_div(a: int, b: int) -> int:
     return -(-a // b)
-
-
-def batches(rows: Iterable, size: int):
-    """Lists of up to ``size`` items."""
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) >= size:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
-def entropy(counts: np.ndarray) -> float:
-    p = counts / max(1, counts.sum())
-    p = p[p > 0]
-    return float(-(p * np.log2(p)).sum()) if len(p) else 0.0
-
-
-__all__ = ["BROADCAST_ROWS", "HashCache", "Scratch", "arrow", "batches", "ceil_div", "components", "entropy", "math", "mix",
-           "os", "shared_dir", "shingle_set", "shingles", "small", "sweep", "table", "word_hashes", "words"]

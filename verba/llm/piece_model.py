@@ -16,6 +16,36 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 
 
+class Memo:
+    """What ``make`` gave for recent strings, in bounded memory: a young and an old generation."""
+
+    #: Strings, and characters of them, of a generation.
+    MOST, CHARS = 1 << 17, 1 << 21
+
+    def __init__(self, make):
+        self.make, self.chars = make, 0
+        self.young: dict[str, object] = {}
+        self.old: dict[str, object] = {}
+
+    def clear(self) -> None:
+        self.young, self.old, self.chars = {}, {}, 0
+
+    def of(self, parts: list[str]) -> dict:
+        """A mapping that has all of ``parts``."""
+        if len(self.young) >= self.MOST or self.chars >= self.CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        new = set(parts).difference(self.young)
+        if new:
+            self.chars += sum(map(len, new))
+            lost = [p for p in new if p not in self.old]
+            self.young.update((p, self.old[p]) for p in new.difference(lost))
+            self.young.update(self.made(lost))
+        return self.young
+
+    def made(self, parts: list[str]):
+        return ((p, self.make(p)) for p in parts)
+
+
 def _varint(b: bytes, i: int) -> tuple[int, int]:
     out = shift = 0
     while True:

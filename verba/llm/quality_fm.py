@@ -25,57 +25,46 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import prepare
+from verba.llm.common import distinct, hashed, prepare
 
 #: Word buckets, rank of the interactions, most labelled rows of the training sample.
 BUCKETS, RANK, MAX_TRAIN = 1 << 13, 8, 6000
 STATS = 16
 
 
-class Buckets(dict):
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
-            self.clear()
-        b = self[word] = xxhash.xxh3_64_intdigest(word) % self.buckets
-        return b
-
-
-def structure(text: str, words: list[str]) -> list[float]:
-    """Statistics of a text's structure, each about 0 to 1."""
-    n = max(1, len(text))
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    c = np.bincount(raw, minlength=256) / max(1, len(raw))
-    lines = text.count("\n") + 1
+def structure(raw: np.ndarray, words: np.ndarray, different: int) -> list[float]:
+    """Statistics of a text's structure, from its bytes and word hashes, each about 0 to 1."""
+    c = np.bincount(raw, minlength=256)
+    inner = c[128:192].sum()  # bytes that go on a character
+    n, lines, letters = max(1, len(raw) - inner), c[10] + 1, len(raw) - inner - c[9:14].sum() - c[32]
+    c = c / max(1, len(raw))
     upper, lower, digit = c[65:91].sum(), c[97:123].sum(), c[48:58].sum()
     mark = c[33:48].sum() + c[58:65].sum() + c[91:97].sum() + c[123:127].sum()
     end = c[33] + c[46] + c[63]
-    distinct = len(set(words)) / max(1, len(words))
-    mean = sum(map(len, words)) / max(1, len(words))
+    distinct = different / max(1, len(words))
+    mean = letters / max(1, len(words))
     size = np.log1p(len(words)) / 10
-    return [upper, lower, digit, 5 * mark, 10 * end, 20 * c[44], 50 * c[33], 50 * c[124], distinct, distinct * size, mean / 20, size, np.log1p(n / lines) / 10, np.log1p(lines) / 10, 5 * c[32], 1.0 if not words else 0.0]
+    return [upper, lower, digit, 5 * mark, 10 * end, 20 * c[44], 50 * c[33], 50 * c[124], distinct, distinct * size, mean / 20, size, np.log1p(n / lines) / 10, np.log1p(lines) / 10, 5 * c[32], 1.0 if not len(words) else 0.0]
 
 
-def rows_of(texts, buckets: int, cache: Buckets):
+def rows_of(texts: pa.Array, buckets: int):
     """Compressed sparse rows of word features, and the structure statistics."""
     ends, cols, vals, stats = [0], [], [], []
-    for text in texts:
-        text = text or ""
-        words = text.split()
-        b = np.fromiter(map(cache.__getitem__, words), np.int64, len(words))
-        u, n = np.unique(b, return_counts=True)
-        v = np.sqrt(n.astype(np.float64))
-        v /= max(1e-9, np.sqrt((v * v).sum()))
-        cols.append(u)
-        vals.append(v)
-        ends.append(ends[-1] + len(u))
-        stats.append(structure(text, words))
+    for data, stops, h, words in hashed(texts, lower=False):
+        byte = word = 0
+        for b, w in zip(stops.tolist(), words.tolist(), strict=True):
+            own = h[word:w]
+            u, n = np.unique((own % np.uint64(buckets)).astype(np.int64), return_counts=True)
+            v = np.sqrt(n.astype(np.float64))
+            v /= max(1e-9, np.sqrt((v * v).sum()))
+            cols.append(u)
+            vals.append(v)
+            ends.append(ends[-1] + len(u))
+            stats.append(structure(data[byte:b], own, len(distinct(own))))
+            byte, word = b, w
     cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
     return np.array(ends), cat(cols, np.int64), cat(vals, np.float64), np.array(stats).reshape(-1, STATS)
 
@@ -147,9 +136,8 @@ def fit(ends, cols, vals, stats, y: np.ndarray, buckets: int = BUCKETS, rank: in
 
 def _features(buckets: int):
     def run(batches):
-        cache = Buckets(buckets)
         for b in batches:
-            ends, cols, vals, stats = rows_of((t.as_py() for t in b.column("text")), buckets, cache)
+            ends, cols, vals, stats = rows_of(b.column("text"), buckets)
             wide = lambda e, x, t: pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(x, t))
             yield pa.RecordBatch.from_arrays(
                 [b.column("y"), wide(ends, cols.astype(np.int32), pa.int32()), wide(ends, vals.astype(np.float32), pa.float32()), wide(np.arange(0, stats.size + 1, STATS), stats.ravel(), pa.float64())],
@@ -206,13 +194,10 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, buckets: int = BUCKET
 
 def _score(model, buckets: int, keep: list[str]):
     def run(batches):
-        cache, m = Buckets(buckets), model.value
+        m = model.value
         for b in batches:
             text = b.column("text")
-            out = []
-            for at in range(0, len(text), 256):
-                part = [t.as_py() for t in text.slice(at, 256)]
-                out.append(m.score(*rows_of(part, buckets, cache)) if m else np.full(len(part), 0.5))
+            out = [m.score(*rows_of(text.slice(at, 256), buckets)) if m else np.full(len(text.slice(at, 256)), 0.5) for at in range(0, len(text), 256)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, "score"])
 
     return run

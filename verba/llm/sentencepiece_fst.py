@@ -1,26 +1,35 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-Three machines are compiled from a model file and composed with each input:
-
-* the normaliser: a dummy prefix, and a space becomes the space mark;
-* the pieces: a trie whose accepting paths write a piece's id, and byte
-  fallback arcs that write the ids of the UTF-8 bytes of a character that is no
-  piece;
-* a bigram acceptor over pieces.  The model file is of the BPE kind, whose
-  segmentation is not the path of greatest added score.  But a sequence of
-  pieces is the model's segmentation exactly if each two neighbours are left
-  alone when they are merged on their own: merges inside two neighbours happen
-  in the order of the whole, so a merge across a border would show there too.
-  The acceptor's arc from one piece to the next weighs 0 if the pair is so, and
-  infinity (no arc) if not.
-
-The path of least weight in the tropical semiring is then the encoding.  No
-piece has the space mark after another character, and none holds a line feed,
-so the composition falls into independent parts there; a part's shortest path
-is remembered.
-
-Defined results: a null or empty text has no ids and decodes to the empty text.
-Ids outside the vocabulary raise ``IndexError``.
+Three machines are compiled from a model file:
+
+* the *normaliser* (``Normaliser``): two states, with arcs that write the dummy
+  prefix before a text and the space mark for a space;
+* the *pieces* (``Pieces``): a trie whose arcs read characters and whose accepting
+  states write a piece's id, with a byte fallback arc for each character that is no
+  piece, which writes the ids of its UTF-8 bytes;
+* the *weights* (``Weights``): an acceptor with a state for each piece.  The model
+  file is of the BPE kind, whose segmentation is not the path of greatest added
+  score.  But a sequence of pieces is the model's segmentation exactly if each two
+  neighbours are left alone when they are merged on their own: merges inside two
+  neighbours happen in the order of the whole, so a merge across a border would
+  show there too.  The arc from one piece to the next weighs 0 if the pair is so,
+  and infinity (no arc) if not.
+
+An input is composed with the three; states of the composition are (place, last
+piece).  Its path of least weight in the tropical semiring, where weights along a
+path are added and the least sum is taken, is the encoding.  The composition is
+expanded while the path is searched (``Transducer.shortest``), least sum first.
+
+No piece has the space mark after another character, and none holds a line feed,
+so the composition falls into independent parts there; the paths of recent parts
+are remembered within a partition, in bounded memory.  Other models (not BPE, with
+a character map, without byte fallback, or with pieces across those borders) are
+refused with ``ValueError``.
+
+Defined results: a null or empty text has no ids and decodes to the empty text;
+null ids and repeated rows stay, one output row per input row; an empty table
+gives no rows; a very long text, or one long part without spaces, is encoded whole;
+extra columns are ignored.  Ids outside the vocabulary raise ``IndexError``.
 """
 
 from __future__ import annotations
@@ -35,11 +44,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm import piece_model
-from verba.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, PieceModel
+from verba.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, Memo, PieceModel
 
 INF = float("inf")
-#: Parts whose paths are remembered, and pairs of the acceptor, per worker.
-MEMO = 1 << 19
+#: Arcs of the acceptor that a worker remembers.
+ARCS = 1 << 18
 
 
 def left_alone(left: str, right: str, score: dict[str, float]) -> bool:
@@ -69,106 +78,150 @@ def left_alone(left: str, right: str, score: dict[str, float]) -> bool:
             pairs[at] = score.get(symbols[at] + symbols[at + 1])
 
 
+class Normaliser:
+    """Writes the dummy prefix in its first state, and the space mark for each space."""
+
+    def __init__(self, dummy_prefix: bool):
+        self.start = SPACE if dummy_prefix else ""
+
+    def write(self, text: str, first: bool) -> str:
+        return (self.start if first else "") + text.replace(" ", SPACE)
+
+
+class Pieces:
+    """The trie: a state is (arcs by character, id that it writes if it accepts, else -1)."""
+
+    def __init__(self, model: PieceModel):
+        root: dict = {}
+        for piece, i in model.ids.items():
+            arcs = root
+            for c in piece[:-1]:
+                arcs = arcs.setdefault(c, ({}, -1))[0]
+            arcs[piece[-1]] = (arcs.get(piece[-1], ({}, -1))[0], i)
+        self.root = root
+        #: From here on outputs stand for a single character that is no piece, and is written as bytes.
+        self.fallback = len(model.pieces)
+
+    def arcs(self, text: str) -> list[tuple[int, int]]:
+        """(length, output) of each path from the root that reads the text's start, longest last."""
+        out, n, arcs = [], 0, self.root
+        for c in text:
+            state = arcs.get(c)
+            if state is None:
+                break
+            n += 1
+            arcs, i = state
+            if i >= 0 or n == 1:
+                out.append((n, i))
+        if not out or out[0][1] < 0:
+            out[:1] = [(1, self.fallback + ord(text[0]))]
+        return out
+
+
+class Weights:
+    """The acceptor over outputs of ``Pieces``; arcs are compiled when they are first met."""
+
+    def __init__(self, model: PieceModel, pieces: Pieces):
+        self.model, self.fallback = model, pieces.fallback
+        self.start = pieces.fallback + 0x110000
+        self.width = self.start + 1
+        self.known: dict[int, float] = {}
+
+    def name(self, output: int) -> str:
+        if output == self.start:
+            return ""
+        return self.model.pieces[output] if output < self.fallback else chr(output - self.fallback)
+
+    def arc(self, last: int, output: int) -> float:
+        if len(self.known) >= ARCS:
+            self.known.clear()
+        w = self.known[last * self.width + output] = 0.0 if left_alone(self.name(last), self.name(output), self.model.score) else INF
+        return w
+
+
 class Transducer:
     def __init__(self, model: PieceModel):
         if not (model.newline_splits and model.space_starts):
             raise ValueError("pieces across line feeds or before a space mark")
         self.model = model
-        self.pair: dict[tuple[str, str], float] = {}
-        #: Length of the longest piece by its first two characters.
-        self.reach: dict[str, int] = {}
-        for p in model.score:
-            self.reach[p[:2]] = max(len(p), self.reach.get(p[:2], 1))
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
+        self.normaliser, self.pieces = Normaliser(model.dummy_prefix), Pieces(model)
+        self.weights = Weights(model, self.pieces)
+        #: Ids of recent parts: with a space mark before them, and as they stand.
+        self.spaced = Memo(lambda part: self.ids(SPACE + part))
+        self.plain = Memo(self.ids)
         self.out = [self._written(i) for i in range(len(model.pieces))]
+        self.longest = model.longest
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    # -- acceptor ---------------------------------------------------------
-    def weight(self, last: str, piece: str) -> float:
-        """0 if merges leave the two pieces (or the first one: ``last`` empty) alone, else infinity."""
-        key = (last, piece)
-        w = self.pair.get(key)
-        if w is None:
-            if len(self.pair) >= MEMO:
-                self.pair.clear()
-            w = self.pair[key] = 0.0 if left_alone(last, piece, self.model.score) else INF
-        return w
+    def forget(self) -> None:
+        """Drop what is remembered between texts."""
+        self.spaced.clear()
+        self.plain.clear()
+        self.weights.known.clear()
 
     # -- composition and shortest path ---------------------------------------
-    def path(self, part: str) -> list[str]:
-        """The pieces of least total weight that write ``part``; characters that are no piece stand for themselves.
+    def shortest(self, part: str) -> list[int]:
+        """The outputs along the path of least weight through the composition with ``part``.
 
-        States are (place, last piece).  No path weighs less than 0, so the first
-        whole path of weight 0 is a shortest one: it is searched depth first,
-        longer pieces first, and a state that led nowhere is not entered again.
+        Dijkstra's search: the open state of least sum is expanded first, the one
+        entered last among equals.  As arcs weigh 0 or infinity, all open states
+        have the sum 0 and the queue is a stack; the first path that reads the whole
+        part is a shortest one.  States are expanded once.
         """
-        score, pair, reach, n = self.model.score, self.pair, self.reach, len(part)
-        out: list[str] = []
-        dead: set[tuple[int, str]] = set()
-        at, last = 0, ""
-        size = reach.get(part[:2], 1) if n else 0
+        arcs, known, weigh, width, n = self.pieces.arcs, self.weights.known, self.weights.arc, self.weights.width, len(part)
+        path: list[int] = []
+        longest = self.longest
+        ways: list[list[tuple[int, int]]] = []
+        done: set[tuple[int, int]] = set()
+        last, at = self.weights.start, 0
+        left = arcs(part[:longest]) if n else []
         while at < n:
-            if size > n - at:
-                size = n - at
-            while size:
-                piece = part[at : at + size]
-                if size == 1 or piece in score:
-                    w = pair.get((last, piece))
-                    if (self.weight(last, piece) if w is None else w) == 0.0 and (not dead or (at + size, piece) not in dead):
-                        break
-                size -= 1
-            if size:
-                out.append(piece)
-                at, last = at + size, piece
-                size = reach.get(part[at : at + 2], 1)
+            while left:
+                size, output = left.pop()
+                w = known.get(last * width + output)
+                if (weigh(last, output) if w is None else w) == 0.0 and (not done or (at + size, output) not in done):
+                    break
             else:
-                piece = out.pop()
-                dead.add((at, piece))
-                at, last, size = at - len(piece), out[-1] if out else "", len(piece) - 1
-        return out
+                piece = path.pop()
+                done.add((at, piece))
+                at -= len(self.weights.name(piece))
+                last, left = path[-1] if path else self.weights.start, ways.pop()
+                continue
+            path.append(output)
+            ways.append(left)
+            at, last = at + size, output
+            left = arcs(part[at : at + longest]) if at < n else []
+        return path
 
     def ids(self, part: str) -> bytes:
         """The path's ids as 32-bit integers, little-endian."""
-        out = []
-        for p in self.path(part):
-            i = self.model.ids.get(p)
-            out += [i] if i is not None else [self.model.byte_ids[b] for b in p.encode("utf-8")]
+        fallback, out = self.pieces.fallback, []
+        for x in self.shortest(part):
+            out += [x] if x < fallback else [self.model.byte_ids[b] for b in chr(x - fallback).encode("utf-8")]
         return np.array(out, "<i4").tobytes()
 
-    def _known(self, memo: dict[str, bytes], parts: list[str], mark: str) -> None:
-        new = set(parts).difference(memo)
-        if new:
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = set(parts)
-            memo.update((p, self.ids(mark + p)) for p in new)
-
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
         out = []
         feed = self.ids("\n")
         for k, line in enumerate(text.split("\n")):
-            first = k == 0 and self.model.dummy_prefix
+            first = k == 0
             if k:
                 out.append(feed)
             if not line:
-                if first:
-                    out.append(self.ids(SPACE))
+                if first and self.normaliser.start:
+                    out.append(self.ids(self.normaliser.start))
                 continue
             if "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
-                parts = self.parts.findall((SPACE if first else "") + line.replace(" ", SPACE))
-                self._known(self.plain, parts, "")
-                out += map(self.plain.__getitem__, parts)
+                parts = self.parts.findall(self.normaliser.write(line, first))
+                out += map(self.plain.of(parts).__getitem__, parts)
                 continue
-            parts = line.split(" ")
-            if not first:
-                self._known(self.plain, parts[:1], "")
-                out.append(self.plain[parts[0]])
+            parts = line.split(" ")  # the normaliser writes a mark before each of these
+            if not (first and self.normaliser.start):
+                out.append(self.plain.of(parts[:1])[parts[0]])
                 del parts[0]
-            self._known(self.spaced, parts, SPACE)
-            out += map(self.spaced.__getitem__, parts)
+            out += map(self.spaced.of(parts).__getitem__, parts)
         return np.frombuffer(b"".join(out), "<i4")
 
     # -- the inverse -------------------------------------------------------------
@@ -195,6 +248,7 @@ def compiled(path: str) -> Transducer:
 def _run(path: str, decoded: bool):
     def run(batches):
         t = compiled(path)
+        t.forget()  # a task before may have been cut short
         for b in batches:
             ends, ids, back = [0], [], []
             for text in b.column(1):
@@ -211,6 +265,7 @@ def _run(path: str, decoded: bool):
                 cols.append(pa.array(back, pa.string()))
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
+        t.forget()
 
     return run
 

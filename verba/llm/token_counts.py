@@ -3,7 +3,8 @@
 Offline, each vocabulary string that starts with the space mark is encoded
 alone; those that come out as their own single token are proved.  Pre-tokens
 (words between spaces) that are proved count 1 without any merging; only the
-rest go to the library, each distinct one once, and are remembered.
+rest go to the library, and recent ones are remembered within a partition, in
+bounded memory.
 
 Splitting at spaces and line feeds is sound as no piece holds the space mark
 after another character, and none holds a line feed beside another character;
@@ -11,7 +12,8 @@ both are checked against the model file, and a model that breaks them has its
 texts encoded whole.
 
 Defined results: a null text is empty (0 bytes, 0 tokens); null ids and repeated
-rows stay, one output row per input row; extra columns are ignored.
+rows stay, one output row per input row; an empty table gives no rows; a very long
+text is counted whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm import piece_model
-from verba.llm.piece_model import SPACE
+from verba.llm.piece_model import SPACE, Memo
 
-#: Pre-tokens remembered per worker.
-MEMO = 1 << 20
+
+class Counts(Memo):
+    """Counts of new strings are made all at once."""
+
+    def made(self, parts: list[str]):
+        return self.make(parts) if parts else ()
 
 
 class Counter:
@@ -43,27 +49,26 @@ class Counter:
         proofs = self.lib.encode([p[1:] for p in strings], num_threads=1)
         #: The proved vocabulary strings, without their space mark.
         self.proved = {p[1:]: 1 for p, got in zip(strings, proofs, strict=True) if got == [model.ids[p]]}
-        self.spaced = dict(self.proved)
-        self.plain: dict[str, int] = {}
+        #: Counts of recent pre-tokens: with a space mark before them, and after a line feed.
+        self.spaced, self.plain = Counts(self._spaced), Counts(self._plain)
         #: Tokens of a line feed, and of the dummy prefix that stands alone before one.
         self.lone = len(self.lib.encode("\n\n")) - 2 * (len(self.lib.encode("\n\n")) - len(self.lib.encode("\n")))
         self.feed = len(self.lib.encode("\n")) - self.lone
 
-    def _learn(self, memo: dict[str, int], parts, inner: bool) -> None:
-        """Counts of unseen pre-tokens by the library's merges; inner ones stand after a line feed."""
-        new = list(set(parts).difference(memo))
-        if not new:
-            return
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            if not inner:
-                memo.update(self.proved)
-            new = list(set(parts).difference(memo))
-        if inner:
-            lead = len(self.lib.encode("\n"))
-            memo.update((p, len(i) - lead) for p, i in zip(new, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in new], num_threads=1), strict=True))
-        else:
-            memo.update((p, len(i)) for p, i in zip(new, self.lib.encode(new, num_threads=1), strict=True))
+    def _spaced(self, parts: list[str]):
+        """Proved strings count without merging; the others are merged by the library, all at once."""
+        rest = [p for p in parts if p not in self.proved]
+        yield from ((p, 1) for p in parts if p in self.proved)
+        yield from ((p, len(i)) for p, i in zip(rest, self.lib.encode(rest, num_threads=1), strict=True))
+
+    def _plain(self, parts: list[str]):
+        lead = len(self.lib.encode("\n"))
+        yield from ((p, len(i) - lead) for p, i in zip(parts, self.lib.encode(["\n" + p.replace(SPACE, " ") for p in parts], num_threads=1), strict=True))
+
+    def forget(self) -> None:
+        """Drop what is remembered between texts."""
+        self.spaced.clear()
+        self.plain.clear()
 
     def count(self, text: str | None) -> int:
         if not text:
@@ -77,16 +82,13 @@ class Counter:
                 continue
             if "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
                 parts = self.parts.findall((SPACE if k == 0 else "") + line.replace(" ", SPACE))
-                self._learn(self.plain, parts, True)
-                total += sum(map(self.plain.__getitem__, parts))
+                total += sum(map(self.plain.of(parts).__getitem__, parts))
                 continue
             parts = line.split(" ")
             if k:
-                self._learn(self.plain, parts[:1], True)
-                total += self.plain[parts[0]]
+                total += self.plain.of(parts[:1])[parts[0]]
                 del parts[0]
-            self._learn(self.spaced, parts, False)
-            total += sum(map(self.spaced.__getitem__, parts))
+            total += sum(map(self.spaced.of(parts).__getitem__, parts))
         return total
 
 
@@ -98,10 +100,12 @@ def compiled(path: str) -> Counter:
 def _run(path: str):
     def run(batches):
         c = compiled(path)
+        c.forget()  # a task before may have been cut short
         for b in batches:
             text = b.column(1)
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array([c.count(t.as_py()) for t in text], pa.int64())], ["id", "n_bytes", "n_tokens"])
+        c.forget()
 
     return run
 
