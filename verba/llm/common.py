@@ -19,6 +19,8 @@ from verba.runtime import prepare
 
 #: Rows up to which a side of (long, long) pairs may be broadcast: about 64 MB as a hash relation.
 BROADCAST_ROWS = 1_000_000
+#: Rows of a few numbers that a file of a scratch table holds, where their count is known.
+FILE_ROWS = 250_000
 
 _ROOTS: dict[str, tuple[SparkSession, str]] = {}
 
@@ -74,8 +76,11 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
+        """Write and reread; of a table that has at most ``rows`` rows, ``per`` of them go into a file."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(max(1, ceil_div(rows, per)))
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -221,15 +226,16 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
 # connected components
 
 
-def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most: int = 60) -> DataFrame:
     """(id, component) for every id of ``edges(a, b)``: the smallest id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014).  Each
     step is a grouped minimum with partial aggregation and one join, and is
-    written out, so a large component is never gathered in one task.
+    written out, so a large component is never gathered in one task.  ``rows`` is
+    the number of edges if it is known; steps never have more than twice as many.
     """
-    e = scratch.keep(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "cc0")
-    before = None
+    e = scratch.keep(edges.select("a", "b").where("a is not null and b is not null and a <> b").distinct(), "cc0", rows)
+    before, rows = None, e.count()
     for i in range(1, most + 1):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -238,10 +244,10 @@ def components(edges: DataFrame, scratch: Scratch, most: int = 60) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         star = down.join(low, "a")
         e2 = star.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        e2 = scratch.keep(e2.where("a <> b").distinct(), f"cc{i}")
+        e2 = scratch.keep(e2.where("a <> b").distinct(), f"cc{i}", rows)
         now = e2.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"cc{i - 1}", files=False)
-        e = e2
+        e, rows = e2, now[0]
         if now == before:
             break
         before = now

@@ -109,23 +109,25 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(*_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
     lines = scratch.keep(rows.mapInArrow(_lines(min_words), LINES), "lines")
+    most = most0 = lines.count()
 
-    def ranked(keyed: DataFrame, k: int) -> DataFrame:
+    def ranked(keyed: DataFrame, k: int, most: int) -> DataFrame:
         """Positions whose (r1, r2) another shares, with ranks in the order of the pairs."""
         classes = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
         classes = classes.repartitionByRange(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
-        classes = scratch.keep(classes.withColumn("r", F.monotonically_increasing_id()), f"ranks{k}")
+        classes = scratch.keep(classes.withColumn("r", F.monotonically_increasing_id()), f"ranks{k}", most)
         kept = keyed.join(classes, ["r1", "r2"]).select("did", "th", "o", "r")
-        return scratch.keep(kept.distinct() if k == 0 else kept, f"level{k}")  # repeated rows are one document
+        return scratch.keep(kept.distinct() if k == 0 else kept, f"level{k}", most)  # repeated rows are one document
 
-    level = ranked(lines.select("did", "th", "o", F.col("id1").alias("r1"), F.col("id2").alias("r2")), 0)
+    level = ranked(lines.select("did", "th", "o", F.col("id1").alias("r1"), F.col("id2").alias("r2")), 0, most)
     levels, k = [level.withColumn("k", F.lit(0))], 0
     while 2 << k <= min_words:
         on = level.select("did", "th", (F.col("o") - (1 << k)).cast("int").alias("o"), F.col("r").alias("r2"))
-        level = ranked(level.withColumnRenamed("r", "r1").join(on, ["did", "th", "o"]), k + 1)
-        k += 1
-        if level.isEmpty():
+        most = level.count()
+        if not most:
             break
+        level = ranked(level.withColumnRenamed("r", "r1").join(on, ["did", "th", "o"]), k + 1, most)
+        k += 1
         levels.append(level.withColumn("k", F.lit(k)))
     names = levels[0]
     for other in levels[1:]:
@@ -136,7 +138,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
     runs = runs.join(names.withColumnRenamed("r", "r1"), ["did", "th", "o", "k"])
     runs = runs.withColumn("e", F.expr("cast(o + m - shiftleft(1, k) as int)"))
     runs = runs.join(names.select("did", "th", F.col("o").alias("e"), "k", F.col("r").alias("r2")), ["did", "th", "e", "k"])
-    runs = scratch.keep(runs.select("did", "th", "o", "m", "r1", "r2", "lo", "hi", "nx").distinct(), "runs")
+    runs = scratch.keep(runs.select("did", "th", "o", "m", "r1", "r2", "lo", "hi", "nx").distinct(), "runs", 2 * most0)
     earliest = runs.groupBy("m", "r1", "r2").agg(F.min(F.struct("did", "th", "o")).alias("first"), F.count("*").alias("c")).where("c > 1")
     return runs.join(earliest, ["m", "r1", "r2"]).where(F.struct("did", "th", "o") > F.col("first")).select("did", "th", "lo", "hi", "nx")
 
