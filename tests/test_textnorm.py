@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from verba.functions.textnorm import MODERN, PREREFORM, case_of, normalize_word, orthography, reform_variants, split_hyphen, tokenize, utf16_offsets
+from verba.functions.textnorm import MODERN, PREREFORM, case_of, normalize_word, orthography, reform_variants, split_hyphen, token_columns, tokenize, utf16_offsets
 
 PRE = [("Ивановъ", "ивановъ"), ("Покровскій", "покровский"), ("Ѳеодоръ", "феодоръ"), ("Iоаннъ", "иоаннъ"), ("Бѣлёвъ", "белевъ"), ("Бг҃ъ", "бгъ"), ("Андрей", "андрей"), ("Кузнецо́в", "кузнецов"),
        ("Ѡ ѯ ѱ ꙋ ѧ ѵ", "о кс пс у я и"), ("кр‐нин", "кр-нин"), ("Mississippi", "mississippi"), ("Kот", "кот"), ("Kотw", "kотw"), ("Пет­ров", "петров"), ("Андрей", "андрей")]
@@ -88,3 +88,19 @@ def test_offset_contract(text):
         assert raw[t[2] : t[3]].decode() == t[0] == text[t[4] : t[5]]
         assert t[2] >= last
         last = t[3]
+
+
+def test_columns_equal_tokens():
+    import random
+
+    from verba.functions.textnorm import TOKEN_FIELDS, token_rows
+
+    rnd = random.Random(9)
+    alphabet = "abKо т.,!\n\r\u2029 -‐1٣5\u0301\u200d😀🏽🇷🇺іѣъЪ…;$ßé\u200bx\x85XIмиp"
+    texts = [None, "", "no breaks", "a.\n\nb", "г. Киев"] + ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    for rules in (MODERN, PREREFORM):
+        ends, cols = token_columns(rules, texts, TOKEN_FIELDS)
+        rows = list(zip(*(cols[f].to_pylist() for f in TOKEN_FIELDS), strict=True))
+        for text, lo, hi in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            assert rows[lo:hi] == tokenize(rules, text or "") == token_rows(rules, text or ""), text
+        assert set(token_columns(rules, texts, ("kind",))[1]) == {"kind"}

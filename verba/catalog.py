@@ -59,6 +59,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose rows are costly: dealt over all cores if its files give fewer tasks than that."""
+    df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cyr(col: str = "text"):
     return F.regexp_replace(F.translate(F.lower(col), LATIN, CYRILLIC), "[^а-я ]", " ")
 
@@ -67,8 +73,9 @@ CYR_SQL = f"regexp_replace(translate(lower(text), '{LATIN}', '{CYRILLIC}'), '[^
 TOKENS_SQL = f"select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) raw from documents"
 
 
-def doc_tokens(spark, sf_dir) -> DataFrame:
-    return explode_tokens(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")))
+def doc_tokens(spark, sf_dir, *fields: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per token of all documents, with the token columns ``fields`` (all, if none is named)."""
+    return explode_tokens(with_tokens(texts(spark, sf_dir).select(*keep, "text"), keep=list(keep), fields=fields or textnorm.TOKEN_FIELDS))
 
 
 # -- tokens and orthography ---------------------------------------------------------------
@@ -77,12 +84,12 @@ def doc_tokens(spark, sf_dir) -> DataFrame:
 @query(f"""select kind, count(*) n from (select case when regexp_full_match(raw, '{WORD}') then 'word' when regexp_full_match(raw, '[0-9]+') then 'number'
     when regexp_full_match(raw, '\\p{{P}}') then 'punct' else 'symbol' end kind from ({TOKENS_SQL})) group by 1""")
 def token_counts_by_kind(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return doc_tokens(spark, sf_dir, "kind", keep=()).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(f"select page_id, count(*) tokens from (select page_id, unnest(regexp_extract_all(html, '{TOKEN}')) raw from pages) group by 1")
 def token_counts_pages(spark, sf_dir):
-    t = with_tokens(table(spark, sf_dir, "pages").select("page_id", "html"), text_col="html")
+    t = with_tokens(table(spark, sf_dir, "pages").select("page_id", "html"), text_col="html", fields=("kind",))
     return t.select("page_id", F.size("tokens").cast("long").alias("tokens"))
 
 
@@ -90,40 +97,40 @@ def token_counts_pages(spark, sf_dir):
     select c, count(*) n from (select case when b = '' then 'none' when not regexp_matches(b, '\\p{{Lu}}') then 'lower' when not regexp_matches(b, '\\p{{Ll}}') and length(b) > 1 then 'upper'
     when regexp_full_match(b, '\\p{{Lu}}\\p{{Ll}}*') or regexp_full_match(raw, '\\p{{Lu}}[^\\p{{Lu}}-]*(-\\p{{Lu}}[^\\p{{Lu}}-]*)*') then 'title' else 'mixed' end c from w) group by 1""")
 def token_case_histogram(spark, sf_dir):
-    return doc_tokens(spark, sf_dir).where("kind = 'word'").groupBy(F.col("case").alias("c")).agg(F.count("*").alias("n"))
+    return doc_tokens(spark, sf_dir, "kind", "case", keep=()).where("kind = 'word'").groupBy(F.col("case").alias("c")).agg(F.count("*").alias("n"))
 
 
 @query(f"select raw, count(*) n from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}') group by 1")
 def fast_words(spark, sf_dir):
     """The SQL-only tokeniser, for texts without marks and mixed scripts."""
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return docs.select(F.explode(textnorm.fast_tokens(F.col("text"))).alias("raw")).where(F.col("raw").rlike(r"^\p{L}")).groupBy("raw").agg(F.count("*").alias("n"))
 
 
 @query("select lang, count(*) docs, 0::bigint bad from documents group by 1")
 def token_offsets_contract(spark, sf_dir):
     """Each token's code-point and byte offsets cut its own text out of the document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    t = with_tokens(docs.withColumn("src", F.col("text")), keep=["doc_id", "lang", "src"])
+    docs = texts(spark, sf_dir).select("doc_id", "lang", "text")
+    t = with_tokens(docs.withColumn("src", F.col("text")), keep=["doc_id", "lang", "src"], fields=("raw", "start", "end", "rune_start", "rune_end"))
     bad = "size(filter(tokens, t -> substring(src, t.rune_start + 1, t.rune_end - t.rune_start) <> t.raw or octet_length(t.raw) <> t.end - t.start))"
     return t.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.expr(bad)).cast("long").alias("bad"))
 
 
 @query("select doc_id, len(regexp_extract_all(text, '[.!?;…]'))::bigint ends from documents")
 def sentence_counts(spark, sf_dir):
-    t = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = with_tokens(texts(spark, sf_dir).select("doc_id", "text"), fields=("kind", "sentence_end"))
     return t.select("doc_id", F.expr("cast(size(filter(tokens, t -> t.sentence_end and t.kind = 'punct')) as bigint)").alias("ends"))
 
 
 @query(r"select doc_id, len(regexp_extract_all(text, '\p{L}\.'))::bigint dotted from documents")
 def dotted_words(spark, sf_dir):
-    t = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    t = with_tokens(texts(spark, sf_dir).select("doc_id", "text"), fields=("dotted",))
     return t.select("doc_id", F.expr("cast(size(filter(tokens, t -> t.dotted)) as bigint)").alias("dotted"))
 
 
 @query(f"select distinct raw, strip_accents(lower(raw)) form from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}')")
 def orthography_latin(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     raw = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("raw")).distinct()
     return textnorm.normalized(raw, "raw", "form")
 
@@ -131,14 +138,14 @@ def orthography_latin(spark, sf_dir):
 @query(f"""with p as (select raw, list_transform(range(0, len(string_split(raw, '-'))), lambda i: i) ix, string_split(raw, '-') ps from (select distinct raw from ({TOKENS_SQL}) where regexp_full_match(raw, '\\p{{L}}+(-\\p{{L}}+)+')))
     select raw, unnest(ps) part, unnest(ix)::int i from p""")
 def hyphen_parts(spark, sf_dir):
-    t = doc_tokens(spark, sf_dir).where("kind = 'word' and raw like '%-%'").select("raw").distinct()
+    t = doc_tokens(spark, sf_dir, "kind", "raw", keep=()).where("kind = 'word' and raw like '%-%'").select("raw").distinct()
     return t.select("raw", F.posexplode(F.split("raw", "-")).alias("i", "part"))
 
 
 @query("select doc_id, length(text)::bigint units from documents")
 def utf16_offsets(spark, sf_dir):
     """UTF-16 offset of each text's end."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("units"))
+    return texts(spark, sf_dir).select("doc_id", (F.octet_length(F.encode("text", "UTF-16BE")) / 2).cast("long").alias("units"))
 
 
 _SUFFIXES = ("яго", "аго", "ыя", "ия")
@@ -149,7 +156,7 @@ _SUFFIXES = ("яго", "аго", "ыя", "ия")
     select form, case when form like '%яго' then s3 || 'его' when form like '%аго' then case when regexp_matches(s3, '[жшчщ]$') then s3 || 'ого,' || s3 || 'его' else s3 || 'ого' end
     when form like '%ыя' then s2 || 'ые,' || s2 || 'ой' when regexp_matches(s2, '[кгх]$') then s2 || 'ие,' || s2 || 'ой' else s2 || 'ие,' || s2 || 'ей' end variants from v""")
 def reform_variants(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.split(cyr(), " ")).alias("w")).where("w <> ''").distinct()
+    w = texts(spark, sf_dir).select(F.explode(F.split(cyr(), " ")).alias("w")).where("w <> ''").distinct()
     f = w.select(F.explode(F.array(*(F.concat("w", F.lit(s)) for s in _SUFFIXES))).alias("form"))
     return f.select("form", F.array_join(F.expr(textnorm.reform_variants_sql("form")), ",").alias("variants"))
 
@@ -165,14 +172,13 @@ def kind_validity(spark, sf_dir):
 
 @query(f"select strip_accents(lower(raw)) form, count(*) n, count(distinct doc_id) docs from ({TOKENS_SQL}) where regexp_full_match(raw, '{WORD}') group by 1")
 def term_document_frequency(spark, sf_dir):
-    """Terms of all words and the documents that hold them; partial sums by document keep the shuffle small."""
-    per = doc_tokens(spark, sf_dir).where("kind = 'word'").groupBy("form", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    """Terms of all words and the documents that hold them; partial sums by batch keep the shuffle small."""
+    return textnorm.form_counts(texts(spark, sf_dir))
 
 
 def _cyr_forms(spark, sf_dir):
     """A dictionary made of the transliterated corpus: words of five letters and more; the lemma is the first five letters."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(cyr(), " ")).alias("form")).where("char_length(form) >= 5").distinct()
+    words = texts(spark, sf_dir).select(F.explode(F.split(cyr(), " ")).alias("form")).where("char_length(form) >= 5").distinct()
     own = lambda lemma: F.struct(F.lit(0).alias("dict_ord"), F.lit("base.corpus").alias("dict"), F.lit("base").alias("kind"), F.col("form").alias("form_key"), F.col("form"), lemma.alias("lemma"), F.lit("NOUN").alias("tag"), F.lit(0).cast("long").alias("lexeme_id"), F.char_length(lemma).cast("long").alias("form_ord"), F.lit(False).alias("predicted"))
     return words.select(F.explode(F.array(own(F.left("form", F.lit(4))), own(F.left("form", F.lit(5))))).alias("x")).select("x.*")
 
@@ -181,8 +187,8 @@ def _cyr_forms(spark, sf_dir):
     select lemma, count(*) n, count(distinct doc_id) docs from l group by 1""")
 def index_terms_cyr(spark, sf_dir):
     """Lemma frequencies of the transliterated corpus: each distinct form is looked up once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", cyr().alias("text"))
-    t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN, analyzer.INDEX)
+    docs = texts(spark, sf_dir).select("doc_id", cyr().alias("text"))
+    t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN, analyzer.INDEX, fields=("raw", "form", "start", "end", "rune_start", "rune_end", "kind", "script", "dotted", "sentence_end"))
     per = t.select("doc_id", F.explode("lemmas.text").alias("lemma")).groupBy("lemma", "doc_id").agg(F.count("*").alias("n"))
     return per.groupBy("lemma").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
 
@@ -335,7 +341,7 @@ _FREQ = f"""with t as (select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')
 @query(_FREQ + " select doc_id, k alias, count(*) n from (select doc_id, f || ' ' || nf k from c where nw) join b using (k) group by 1, 2")
 def surface_matches(spark, sf_dir):
     """Runs of one to three words that occur 20 times or more as aliases, matched in all texts."""
-    docs = rows_apart(table(spark, sf_dir, "documents")).select("doc", "text")
+    docs = rows_apart(texts(spark, sf_dir)).select("doc", "text")
     t = explode_tokens(with_tokens(docs)).withColumns({"term": F.col("form"), "lemmas": F.expr("array(named_struct('text', form, 'flags', 4, 'tag', '', 'kind', '', 'dict', ''))")})
     pos = gazetteer.positions(t, "doc")
     aliases = gazetteer.runs(pos, 3, "doc").groupBy("key").agg(F.count("*").alias("n")).where("n >= 20")
@@ -350,7 +356,7 @@ def surface_matches(spark, sf_dir):
     select a.doc_id, a.m || ' ' || b.m key, count(*) n from o a join o b on a.doc_id = b.doc_id and b.i = a.i + 1 join k on k.key = a.m || ' ' || b.m group by 1, 2""")
 def lemma_matches(spark, sf_dir):
     """All lemma pairs of all texts as keys, matched over ambiguous words by the level-wise trie join."""
-    docs = rows_apart(table(spark, sf_dir, "documents")).select("doc", cyr().alias("text"))
+    docs = rows_apart(texts(spark, sf_dir)).select("doc", cyr().alias("text"))
     t = analyzer.analyze(docs, _cyr_forms(spark, sf_dir), Profile("text"), textnorm.MODERN)
     pos = gazetteer.positions(t, "doc")
     w = Window.partitionBy("doc").orderBy("pos")
@@ -430,7 +436,7 @@ FUNCTION_WORDS = {"en": ("the", "of", "and"), "fr": ("les", "une", "pour"), "de"
     select w.lang as type, raw surface, count(*) n, 3.0::double score from ({TOKENS_SQL}) join w on strip_accents(lower(raw)) = form group by 1, 2""")
 def entity_spans_documents(spark, sf_dir):
     """Spans of function words, typed by language, over all texts: matching, scoring, resolution and output."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir).select("doc_id", "text")
     rows = [("words", i, w, lang, f"{lang}:{w}", w, {}, 0) for i, (lang, w) in enumerate((k, w) for k, ws in FUNCTION_WORDS.items() for w in ws)]
     forms = no_forms(spark)
     compiled = gazetteer.compile_entries(spark.createDataFrame(rows, tables.ENTRY_SCHEMA), forms, {}, Profile("text"))

@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +81,10 @@ def _class_of(c: str) -> str:
 
 
 class _Classes(dict):
-    def __missing__(self, c: str) -> str:
-        v = self[c] = _class_of(c)
+    """Class of a character, by itself or, for ``str.translate``, by its number."""
+
+    def __missing__(self, c: str | int) -> str:
+        v = self[c] = _class_of(chr(c) if isinstance(c, int) else c)
         return v
 
 
@@ -213,7 +218,7 @@ TOKEN_TYPE = "struct<raw:string,form:string,start:int,end:int,rune_start:int,run
 
 def classes_of(rules: Rules, text: str) -> str:
     """A letter for each code point; Latin letters of folded parts count as Cyrillic (OP-31)."""
-    cls = "".join(map(CLASSES.__getitem__, text))
+    cls = text.translate(CLASSES)
     if "L" in cls and "C" in cls:
         for m in _MIXED.finditer(cls):
             if folds(rules, text[m.start() : m.end()]):
@@ -270,31 +275,148 @@ def split_hyphen(token: tuple) -> list[tuple]:
 # --------------------------------------------------------------------------
 # columns
 
-_ARROW = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()]
+_ARROW = dict(zip(TOKEN_FIELDS, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_()], strict=True))
+_SQL = dict(x.split(":") for x in TOKEN_TYPE[7:-1].split(","))
+_KINDS = ["word", "number", "punct", "symbol"]
+#: Kind of a token by the class of its first code point.
+_KIND_OF = np.full(128, 3, np.int8)
+for _letters, _kind in (("CL", 0), ("d", 1), ("peh", 2)):
+    for _c in _letters:
+        _KIND_OF[ord(_c)] = _kind
+_END = ord("e")
+#: Words whose spelling, script and case a task remembers.
+WORDS = 1 << 16
+
+
+class Words(dict):
+    """(form, script, case) of recent word tokens by their raw text; it alone decides them."""
+
+    def __init__(self, rules: Rules):
+        self.rules = rules
+
+    def __missing__(self, raw: str) -> tuple[str, str, str]:
+        if len(self) >= WORDS:
+            self.clear()
+        cyrillic = any(CLASSES[c] == "C" for c in raw)
+        script = "cyrillic" if cyrillic else "latin" if raw.isascii() or all(_LATIN.match(c) for c in raw if CLASSES[c] == "L") else "mixed"
+        v = self[raw] = (normalize_word(self.rules, raw), script, case_of(raw))
+        return v
+
+
+_MARK = ("", "none", "none")
+
+
+def _number(raw: str) -> tuple[str, str, str]:
+    return "".join(c for c in raw if "0" <= c <= "9"), "none", "none"
+
+
+def _byte_offsets(text: str, offsets: np.ndarray) -> np.ndarray:
+    """Byte offsets of code-point offsets."""
+    if text.isascii():
+        return offsets
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    return np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))[offsets]
+
+
+def _breaks(text: str, cls: str, spans: np.ndarray) -> list[int]:
+    """Tokens that a paragraph break follows: two line breaks or a paragraph separator before the next token."""
+    out, seen = [], set()
+    at = cls.find("n")
+    while at >= 0:
+        i = int(np.searchsorted(spans[:, 0], at)) - 1  # the token before
+        if i >= 0 and i not in seen:
+            seen.add(i)
+            part = text[spans[i, 1] : spans[i + 1, 0] if i + 1 < len(spans) else len(text)]
+            if "\u2029" in part or len(_BREAK.findall(part)) >= 2:
+                out.append(i)
+        at = cls.find("n", at + 1)
+    return out
+
+
+def _columns_of(rules: Rules, text: str, want: set[str], words: Words) -> dict[str, list | np.ndarray]:
+    """The wanted columns of a text's tokens; kinds as numbers."""
+    cls = text.translate(CLASSES)
+    if "L" in cls and "C" in cls:
+        cls = classes_of(rules, text)
+    spans = np.array([m.span() for m in _TOKEN.finditer(cls)], np.int32).reshape(-1, 2)
+    lo, hi = spans[:, 0], spans[:, 1]
+    codes = np.frombuffer(cls.encode("ascii"), np.uint8)
+    first = codes[lo]
+    kind = _KIND_OF[first]
+    out = {"kind": kind, "rune_start": lo, "rune_end": hi}
+    spelled = want & {"form", "script", "case"}
+    if "raw" in want or spelled:
+        out["raw"] = raws = [text[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+    if spelled:
+        got = [words[r] if k == 0 else _number(r) if k == 1 else _MARK for r, k in zip(raws, kind.tolist(), strict=True)]
+        out |= {f: [x[i] for x in got] for i, f in enumerate(("form", "script", "case")) if f in want}
+    if "start" in want or "end" in want:
+        at = _byte_offsets(text, spans)
+        out["start"], out["end"] = at[:, 0], at[:, 1]
+    if "dotted" in want:
+        out["dotted"] = dots = np.zeros(len(lo), bool)
+        for i in np.flatnonzero((kind == 0) & (np.append(codes, 0)[hi] == _END)).tolist():
+            dots[i] = text[hi[i]] == "."
+    if "sentence_end" in want:
+        out["sentence_end"] = stop = (kind != 0) & (first == _END)
+        if "n" in cls and len(lo):
+            stop[_breaks(text, cls, spans)] = True
+    return out
+
+
+def token_rows(rules: Rules, text: str, words: Words | None = None) -> list[tuple]:
+    """``tokenize``, faster: what does not depend on a word's spelling is found for all tokens at once."""
+    cols = _columns_of(rules, text, set(TOKEN_FIELDS), Words(rules) if words is None else words)
+    cols["kind"] = [_KINDS[k] for k in cols["kind"].tolist()]
+    return list(zip(*(c if isinstance(c := cols[f], list) else c.tolist() for f in TOKEN_FIELDS), strict=True))
+
+
+def token_columns(rules: Rules, texts: Iterable[str | None], fields: Iterable[str], words: Words | None = None) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(list offsets, a flat array for each of ``fields``) of the tokens of texts; equal to ``tokenize`` text by text."""
+    want, words = set(fields), Words(rules) if words is None else words
+    held: dict[str, list] = {f: [] for f in want}
+    ends = [0]
+    for text in texts:
+        cols = _columns_of(rules, text or "", want, words)
+        ends.append(ends[-1] + len(cols["kind"]))
+        for f in want:
+            if isinstance(cols[f], list):
+                held[f] += cols[f]
+            else:
+                held[f].append(cols[f])
+    out = {}
+    for f in want:
+        if f in ("raw", "form", "script", "case"):
+            out[f] = pa.array(held[f], pa.string())
+        else:
+            flat = np.concatenate(held[f]) if held[f] else np.zeros(0, np.int8)
+            out[f] = pa.DictionaryArray.from_arrays(pa.array(flat, pa.int8()), pa.array(_KINDS)).cast(pa.string()) if f == "kind" else pa.array(flat).cast(_ARROW[f])
+    return np.array(ends, np.int32), out
 
 
-def _tokens(name: str, keep: list[str]):
+def _tokens(name: str, keep: list[str], fields: tuple[str, ...]):
     def run(batches):
         rules = RULES[name]
+        words = Words(rules)
         for b in batches:
-            ends, rows = [0], []
-            for t in b.column("text"):
-                rows += tokenize(rules, t.as_py() or "")
-                ends.append(len(rows))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 11
-            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, _ARROW, strict=True)], TOKEN_FIELDS)
+            ends, cols = token_columns(rules, (t.as_py() for t in b.column("text")), fields, words)
+            flat = pa.StructArray.from_arrays([cols[f] for f in fields], list(fields))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "tokens"])
 
     return run
 
 
-def with_tokens(docs: DataFrame, rules: Rules = PREREFORM, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` and ``tokens``, an array of token structs; one Arrow pass, no exchange."""
+def with_tokens(docs: DataFrame, rules: Rules = PREREFORM, keep: list[str] | None = None, text_col: str = "text", fields: tuple[str, ...] = TOKEN_FIELDS) -> DataFrame:
+    """The columns ``keep`` and ``tokens``, an array of token structs; one Arrow pass, no exchange.
+
+    Only ``fields`` of the tokens are made: a plan should name those that it reads.
+    """
     prepare(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
     rows = docs.select(*(F.col(c) for c in keep if c != "text"), F.col(text_col).cast("string").alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(_tokens(rules.name, keep), ", ".join(f"`{c}` {kinds[c]}" for c in keep) + f", tokens array<{TOKEN_TYPE}>")
+    made = ",".join(f"{f}:{_SQL[f]}" for f in fields)
+    return rows.mapInArrow(_tokens(rules.name, keep, tuple(fields)), "".join(f"`{c}` {kinds[c]}, " for c in keep) + f"tokens array<struct<{made}>>")
 
 
 def explode_tokens(tokens: DataFrame) -> DataFrame:
@@ -303,6 +425,29 @@ def explode_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.select(*rest, F.posexplode("tokens").alias("idx", "t")).select(*rest, "idx", "t.*")
 
 
+def _counted(name: str):
+    def run(batches):
+        rules = RULES[name]
+        words = Words(rules)
+        for b in batches:
+            ends, cols = token_columns(rules, (t.as_py() for t in b.column("text")), ("kind", "form"), words)
+            forms = pc.if_else(pc.equal(cols["kind"], "word"), cols["form"], None).dictionary_encode()
+            code = forms.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))[code >= 0]
+            code, size = code[code >= 0], len(forms.dictionary)
+            docs = np.bincount(np.unique(row * max(1, size) + code) % max(1, size), minlength=size)
+            yield pa.RecordBatch.from_arrays([forms.dictionary, pa.array(np.bincount(code, minlength=size)), pa.array(docs)], ["form", "n", "docs"])
+
+    return run
+
+
+def form_counts(docs: DataFrame, rules: Rules = PREREFORM, text_col: str = "text") -> DataFrame:
+    """(form, n, docs) of all words: how often each form occurs and in how many rows; summed in each Arrow batch before the exchange."""
+    prepare(docs.sparkSession)
+    part = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(rules.name), "form string, n long, docs long")
+    return part.groupBy("form").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
 def _mapped(name: str, what: str, keep: list[str]):
     def run(batches):
         f = {"orthography": orthography, "word": normalize_word}[what]

@@ -10,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verba.functions.textnorm import PREREFORM, RULES, Rules, explode_tokens, reform_variants_sql, with_tokens
+from verba.functions.textnorm import PREREFORM, RULES, TOKEN_FIELDS, Rules, explode_tokens, reform_variants_sql, with_tokens
 from verba.operators.lookup import AMBIGUOUS, LEMMA_TYPE, Profile, lookup_abbrev, lookup_word
 from verba.runtime import prepare
+from verba.scratch import Scratch, small
 
 FULL, INDEX = "full", "index"
+#: Distinct forms, with their lemmas, up to which the table of forms is broadcast (some 200 bytes each).
+BROADCAST_FORMS = 200_000
 _LEMMAS = pa.list_(pa.struct([("text", pa.string()), ("flags", pa.int32()), ("tag", pa.string()), ("kind", pa.string()), ("dict", pa.string())]))
 
 
@@ -64,13 +67,27 @@ def _keys(tokens: DataFrame) -> DataFrame:
     return tokens.where(word).select(F.explode(F.array_distinct(own)).alias("key")).where("key <> ''")
 
 
-def terms(tokens: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rules = PREREFORM, mode: str = FULL) -> DataFrame:
-    """Terms of exploded tokens: their columns, ``part`` (0 the whole, then hyphen parts), ``term`` and ``lemmas``."""
-    table = lookups(_keys(tokens), dict_forms, profile, rules)
-    own = table.select(F.col("key").alias("form"), "lemmas", "stop", F.col("abbrev").alias("own_abbrev"))
-    dotted = table.where("endswith(key, '.')").select(F.col("key").alias("dot_key"), F.col("abbrev").alias("dot_abbrev"))
-    rows = tokens.withColumn("dot_key", F.when(F.col("dotted") & (F.col("script") == "cyrillic"), F.concat("form", F.lit("."))))
-    rows = rows.join(dotted, "dot_key", "left").join(own, "form", "left")
+def terms(tokens: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rules = PREREFORM, mode: str = FULL, keys: DataFrame | None = None) -> DataFrame:
+    """Terms of exploded tokens: their columns, ``part`` (0 the whole, then hyphen parts), ``term`` and ``lemmas``.
+
+    ``keys`` are the distinct keys of the tokens, if a cheaper plan than the tokens
+    themselves has them.  What a form and the same form with a dot are read as is
+    brought together by distinct form, so tokens meet the dictionary in one join.
+    """
+    scratch = Scratch(tokens.sparkSession, "lookups")
+    table = scratch.keep(lookups(_keys(tokens) if keys is None else keys, dict_forms, profile, rules), "table")
+    dotted = table.where("endswith(key, '.')").select(F.expr("left(key, char_length(key) - 1)").alias("form"), F.col("abbrev").alias("dot_abbrev")).where("size(dot_abbrev) > 0")
+    own = table.select(F.col("key").alias("form"), "lemmas", "stop", F.col("abbrev").alias("own_abbrev")).join(dotted, "form", "left")
+    if mode == INDEX:  # what the parts of a hyphenated form are read as, once for each distinct form
+        parts = own.where("form like '%-%'").select("form", F.posexplode(F.split("form", "-")).alias("i", "term")).where("term <> ''")
+        parts = parts.join(table.select(F.col("key").alias("term"), "lemmas", "stop"), "term")
+        parts = parts.groupBy("form").agg(F.array_sort(F.collect_list(F.struct("i", "term", "lemmas", "stop"))).alias("subs"))
+        own = own.join(parts, "form", "left")
+    # only words of the dictionary's script can have a row there
+    rows = tokens.withColumn("_form", F.when((F.col("kind") == "word") & (F.col("script") == "cyrillic") & (F.col("form") != ""), F.col("form")))
+    own, _ = small(scratch.keep(own.withColumnRenamed("form", "_form"), "forms"), BROADCAST_FORMS)
+    rows = rows.join(own, "_form", "left").drop("_form")
+    rows = rows.withColumn("dot_abbrev", F.when(F.col("dotted"), F.col("dot_abbrev")))
     short = F.coalesce(F.size("dot_abbrev"), F.lit(0)) > 0
     hyphened = (F.col("kind") == "word") & F.col("form").contains("-")
     whole = hyphened & (F.coalesce(F.size("own_abbrev"), F.lit(0)) > 0)
@@ -79,34 +96,35 @@ def terms(tokens: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rul
         F.when(F.col("kind") == "number", _unknown(F.col("form"))).when((F.col("kind") != "word") | (F.col("form") == ""), none)
         .when(F.col("script") != "cyrillic", _unknown(F.col("form"))).when(short, F.col("dot_abbrev")).when(whole, F.col("own_abbrev")).otherwise(F.col("lemmas"))
     )
-    rows = rows.withColumn("term", F.when(short, F.col("dot_key")).otherwise(F.col("form"))).withColumn("_lem", lem)
-    drop = ("dot_key", "dot_abbrev", "own_abbrev", "_lem", "_parts")
+    rows = rows.withColumn("term", F.when(short, F.concat("form", F.lit("."))).otherwise(F.col("form"))).withColumn("_lem", lem)
     if mode == FULL:
-        return rows.withColumn("lemmas", F.col("_lem")).withColumn("part", F.lit(0)).drop(*drop)
+        return rows.withColumn("lemmas", F.col("_lem")).withColumn("part", F.lit(0)).drop("dot_abbrev", "own_abbrev", "_lem")
     rows = rows.where("kind = 'number' or (kind = 'word' and script = 'cyrillic' and form <> '')")
-    split = hyphened & ~short & ~whole
-    base = rows.withColumn("stop", F.when((F.col("kind") == "number") | short | whole, F.lit(False)).otherwise(F.coalesce("stop", F.lit(False)))).withColumn("lemmas", F.col("_lem")).withColumn("part", F.lit(0))
-    parts = rows.where(split).withColumn("_parts", F.arrays_zip(F.split("form", "-").alias("f"), F.split("raw", "[-‐]").alias("r")))
-    parts = parts.select("*", F.posexplode("_parts").alias("_i", "_p"))
-    lead = F.expr("if(_i = 0, 0, char_length(array_join(transform(slice(_parts, 1, _i), x -> x.r), '-')) + 1)")
-    bytes_to = F.expr("octet_length(substring(raw, 1, _lead))")
-    parts = parts.withColumn("_lead", lead).withColumn("_b", bytes_to)
-    last = F.col("_i") == F.size("_parts") - 1
-    parts = parts.withColumns(
-        {
-            "part": (F.col("_i") + 1).cast("int"), "term": F.col("_p.f"), "dotted": F.col("dotted") & last, "sentence_end": F.col("sentence_end") & last,
-            "rune_start": F.col("rune_start") + F.col("_lead"), "rune_end": F.col("rune_start") + F.col("_lead") + F.char_length("_p.r"),
-            "start": F.col("start") + F.col("_b"), "end": F.col("start") + F.col("_b") + F.octet_length("_p.r"), "raw": F.col("_p.r"), "form": F.col("_p.f"),
-        }
-    )
-    parts = parts.drop("lemmas", "stop").join(table.select(F.col("key").alias("form"), "lemmas", "stop"), "form").where("form <> ''")
-    keep = [c for c in base.columns if c not in drop]
-    return base.select(*keep).where("not stop").unionByName(parts.select(*keep).where("not stop"))
-
-
-def analyze(docs: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rules = PREREFORM, mode: str = FULL, keep: list[str] | None = None) -> DataFrame:
-    """Terms of each text (OP-50)."""
-    return terms(explode_tokens(with_tokens(docs, rules, keep)), dict_forms, profile, rules, mode)
+    said = F.when((F.col("kind") == "number") | short | whole, F.lit(False)).otherwise(F.coalesce("stop", F.lit(False)))
+    one = F.array(F.struct(F.lit(-1).alias("_i"), "term", F.col("_lem").alias("lemmas"), said.alias("stop")))
+    some = F.transform(F.coalesce("subs", F.expr("array()")), lambda x: F.struct(x["i"].alias("_i"), x["term"].alias("term"), x["lemmas"].alias("lemmas"), F.coalesce(x["stop"], F.lit(False)).alias("stop")))
+    rest = [c for c in tokens.columns]
+    rows = rows.withColumn("_made", F.filter(F.when(hyphened & ~short & ~whole, F.concat(one, some)).otherwise(one), lambda x: ~x["stop"]))
+    rows = rows.select(*rest, F.inline("_made"))
+    # a part's own text and place; the whole has the number -1
+    raws, at = F.split("raw", "[-‐]"), F.expr("if(_i <= 0, 0, char_length(array_join(slice(split(raw, '[-‐]'), 1, _i), '-')) + 1)")
+    rows = rows.withColumns({"_raws": raws, "_at": at})
+    rows = rows.withColumns({"_raw": F.expr("_raws[_i]"), "_byte": F.expr("octet_length(substring(raw, 1, _at))"), "_last": (F.col("_i") < 0) | (F.col("_i") == F.size("_raws") - 1)})
+    piece = F.col("_i") >= 0
+    new = {
+        "part": (F.col("_i") + 1).cast("int"), "dotted": F.col("dotted") & F.col("_last"), "sentence_end": F.col("sentence_end") & F.col("_last"),
+        "rune_start": F.col("rune_start") + F.col("_at"), "rune_end": F.when(piece, F.col("rune_start") + F.col("_at") + F.char_length("_raw")).otherwise(F.col("rune_end")),
+        "start": F.col("start") + F.col("_byte"), "end": F.when(piece, F.col("start") + F.col("_byte") + F.octet_length("_raw")).otherwise(F.col("end")),
+        "raw": F.when(piece, F.col("_raw")).otherwise(F.col("raw")), "form": F.when(piece, F.col("term")).otherwise(F.col("form")),
+    }
+    return rows.withColumns({c: x for c, x in new.items() if c in ("part", *rest)}).drop("_i", "_raws", "_at", "_raw", "_byte", "_last")
+
+
+def analyze(docs: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rules = PREREFORM, mode: str = FULL, keep: list[str] | None = None, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Terms of each text (OP-50); ``fields`` may name fewer token columns if the plan reads no others."""
+    keys = _keys(explode_tokens(with_tokens(docs, rules, [], fields=("form", "kind", "script", "dotted"))))
+    fields = TOKEN_FIELDS if fields is None else tuple(fields)
+    return terms(explode_tokens(with_tokens(docs, rules, keep, fields=fields)), dict_forms, profile, rules, mode, keys)
 
 
 def parse_queries(queries: DataFrame, dict_forms: DataFrame, profile: Profile, rules: Rules = PREREFORM) -> DataFrame:

@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.functions.textnorm import PREREFORM, Rules
-from verba.operators.analyzer import analyze
-from verba.operators.lookup import Profile
+from verba.functions.textnorm import PREREFORM, Rules, Words, token_rows, with_tokens
+from verba.operators.analyzer import lookups
+from verba.operators.lookup import UNKNOWN, Profile
 from verba.plans.document import Alias, Index, Term, Weights, extract
 from verba.plans.rules import Book
 from verba.runtime import prepare
+from verba.scratch import Scratch, small
 
 EXTRACTOR = "spans-1"
 SPAN_TYPE = "struct<start:int,end:int,rune_start:int,rune_end:int,surface:string,type:string,normal:array<string>,refs:array<string>,attrs:map<string,string>,flags:int,score:float,evidence:array<string>,alternatives:array<struct<type:string,normal:array<string>,refs:array<string>,score:double>>>"
@@ -58,14 +59,50 @@ class Pipeline:
         return hashlib.sha256("\n".join([EXTRACTOR, analyzer, gazetteer, self.book.version, json.dumps(config, sort_keys=True)]).encode()).hexdigest()
 
 
+_NONE: list = []
+
+
+def read_terms(tokens: list[tuple], known: dict[str, dict]) -> list[Term]:
+    """Terms of a document in full mode from its tokens and what the dictionaries say about its keys (OP-56)."""
+    memo: dict[str, list] = {}
+
+    def lemmas(key: str, what: str) -> list:
+        got = memo.get(what + key)
+        if got is None:
+            row = known.get(key)
+            got = memo[what + key] = [(x["text"], x["flags"], x["tag"] or "") for x in (row[what] or _NONE if row else _NONE)]
+        return got
+
+    out = []
+    for raw, form, start, end, rune, rune_end, kind, script, case, dotted, ends in tokens:
+        if kind == "word" and form:
+            if script != "cyrillic":
+                own = [(form, UNKNOWN, "")]
+            elif dotted and (own := lemmas(form + ".", "abbrev")):
+                form += "."
+            elif "-" in form and (own := lemmas(form, "abbrev")):
+                pass
+            else:
+                own = lemmas(form, "lemmas")
+        else:
+            own = [(form, UNKNOWN, "")] if kind == "number" else _NONE
+        out.append(Term(raw, form, start, end, rune, rune_end, kind, script, case, dotted, ends, own))
+    return out
+
+
 def _kernel(p: Pipeline):
     book, weights, nesting, least, explain = p.book, p.weights, {k: set(v) for k, v in p.nesting.items()}, p.min_lemma_runes, p.explain
 
     def run(batches):
+        words = Words(p.rules)
         for b in batches:
             spans, facts = [], []
-            for text, terms, aliases, tags, types in zip(*(b.column(c).to_pylist() for c in ("text", "terms", "aliases", "tags", "types")), strict=True):
-                ts = [Term(t["raw"], t["term"] or "", t["start"], t["end"], t["rune_start"], t["rune_end"], t["kind"], t["script"], t["case"], t["dotted"], t["sentence_end"], [(x["text"], x["flags"], x["tag"] or "") for x in t["lemmas"] or []]) for t in terms or []]
+            for text, known, aliases, tags, types in zip(*(b.column(c).to_pylist() for c in ("text", "known", "aliases", "tags", "types")), strict=True):
+                if not aliases and not book.sets:
+                    spans.append([])
+                    facts.append([])
+                    continue
+                ts = read_terms(token_rows(p.rules, text or "", words), {k["key"]: k for k in known or ()})
                 sources: dict[str, list[Alias]] = {}
                 for i, a in enumerate(sorted(aliases or [], key=lambda a: (a["source"], a["entry_ord"]))):
                     keys = tuple(tuple(k) for k in a["lemma_keys"] or [])
@@ -84,8 +121,22 @@ def _kernel(p: Pipeline):
     return run
 
 
+#: Rows of a dictionary's or a gazetteer's share of a corpus up to which they are broadcast (some hundred bytes each).
+BROADCAST_ROWS = 100_000
+
+#: What a document may look up in a dictionary: forms, dotted forms, hyphen parts of them.
+_LOOKED_UP = """array_distinct(flatten(transform(filter(tokens, t -> t.kind = 'word' and t.script = 'cyrillic' and t.form <> ''),
+    t -> if(t.dotted, array(t.form, concat(t.form, '.')), array(t.form)))))"""
+_WORDS = "array_distinct(transform(filter(tokens, t -> t.kind in ('word', 'number')), t -> t.form))"
+
+
 def extract_documents(docs: DataFrame, compiled: DataFrame, dict_forms: DataFrame, p: Pipeline) -> DataFrame:
-    """(doc_id, spans, facts) of ``docs(doc_id, text[, profile, tags, types])``; doc_ids are unique."""
+    """(doc_id, spans, facts) of ``docs(doc_id, text[, profile, tags, types])``; doc_ids are unique.
+
+    Tokens are made where they are used and never leave their document.  Only each
+    document's distinct words do: to the dictionary, by distinct key over all
+    documents, and to the first words of aliases.
+    """
     prepare(docs.sparkSession)
     have = set(docs.columns)
     col = lambda c, kind: F.col(c).cast(kind) if c in have else F.lit(None).cast(kind)
@@ -93,18 +144,27 @@ def extract_documents(docs: DataFrame, compiled: DataFrame, dict_forms: DataFram
     known = F.col("profile").isin(*p.profiles)
     rows = rows.withColumn("profile", F.when(known, F.col("profile")).otherwise(F.raise_error(F.concat(F.lit("unknown profile "), F.col("profile"))).cast("string")))
     names = [p.default_profile] if "profile" not in have else list(p.profiles)
-    terms = None
+    scratch = Scratch(docs.sparkSession, "extract")
+    brief = with_tokens(rows, p.rules, ["doc_id", "profile"], fields=("form", "kind", "script", "dotted"))
+    brief = scratch.keep(brief.select("doc_id", "profile", F.expr(_LOOKED_UP).alias("keys"), F.expr(_WORDS).alias("words")), "words")
+    own = brief.select("doc_id", "profile", F.explode("keys").alias("key"))
+    read, done = None, []
     for name in names:
-        got = analyze(rows.where(F.col("profile") == name).select("doc_id", "text"), dict_forms, p.profiles[name], p.rules, keep=["doc_id"])
-        terms = got if terms is None else terms.unionByName(got)
-    one = F.struct("idx", "raw", "term", "start", "end", "rune_start", "rune_end", "kind", "script", "case", "dotted", "sentence_end", "lemmas")
-    per_doc = terms.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("terms"))
-    words = terms.where("kind in ('word', 'number')").select("doc_id", F.explode(F.array_distinct(F.concat(F.array("term"), F.expr("transform(lemmas, l -> l.text)")))).alias("word")).distinct()
+        keys = own.where(F.col("profile") == name).select("doc_id", "key")
+        said = lookups(keys.select("key").distinct(), dict_forms, p.profiles[name], p.rules).select("key", "lemmas", "abbrev")
+        got = keys.join(small(scratch.keep(said, f"lookups-{len(done)}"), BROADCAST_ROWS)[0], "key")
+        done.append(name)
+        read = got if read is None else read.unionByName(got)
+    per_doc = read.groupBy("doc_id").agg(F.collect_list(F.struct("key", "lemmas", "abbrev")).alias("known"))  # a document's distinct keys
+    words = brief.select("doc_id", F.explode("words").alias("word"))
+    said = read.select("doc_id", F.explode(F.concat(F.array("key"), F.expr("transform(lemmas, l -> l.text)"), F.expr("transform(abbrev, l -> l.text)"))).alias("word"))
     firsts = compiled.where("n_words > 0").select("alias_id", F.explode(F.array_distinct(F.concat(F.array(F.get("surface_key", F.lit(0))), F.expr("transform(lemma_keys, k -> k[0])")))).alias("word"))
+    firsts, _ = small(firsts, BROADCAST_ROWS)
     alias = F.struct("source", "entry_ord", "alias", "type", "ref", "canonical", "attrs", "flags", "cases", "lemma_keys", "surface_key")
-    hit = words.join(firsts, "word").select("doc_id", "alias_id").distinct().join(compiled.select("alias_id", alias.alias("a")), "alias_id")
-    found = hit.groupBy("doc_id").agg(F.collect_list("a").alias("aliases"))
-    full = rows.join(per_doc, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "text", "terms", "aliases", "tags", "types")
+    entries, _ = small(compiled.where("n_words > 0").select("alias_id", alias.alias("a")), BROADCAST_ROWS)
+    hit = words.join(firsts, "word").unionByName(said.join(firsts, "word")).select("doc_id", "alias_id").distinct()
+    found = hit.join(entries, "alias_id").groupBy("doc_id").agg(F.collect_list("a").alias("aliases"))
+    full = rows.select("doc_id", "text", "tags", "types").join(per_doc, "doc_id", "left").join(found, "doc_id", "left").select("doc_id", "text", "known", "aliases", "tags", "types")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return full.mapInArrow(_kernel(p), f"doc_id {kind}, spans array<{SPAN_TYPE}>, facts array<{FACT_TYPE}>")
 

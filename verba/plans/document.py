@@ -32,7 +32,7 @@ class Weights:
     types: dict[str, float] = field(default_factory=dict, hash=False)
 
 
-@dataclass
+@dataclass(slots=True)
 class Term:
     """A token with its lemmas as (text, flags, tag)."""
 
@@ -88,15 +88,6 @@ class Alias:
     surface_key: tuple[str, ...]
 
 
-def compile_alias(i: int, entry: dict, terms: list[Term]) -> Alias | None:
-    """The keys of an analysed alias; none without words (OP-60, OP-63)."""
-    words = [t for t in terms if t.content]
-    if not words:
-        return None
-    keys = () if entry["flags"] & SURFACE_ONLY else tuple(dict.fromkeys(combine([t.options() for t in words])))
-    return Alias(i, entry["alias"], entry["type"], entry["ref"] or "", entry["canonical"] or entry["alias"], tuple(sorted((entry["attrs"] or {}).items())), entry["flags"], tuple(t.case for t in words), keys, tuple(t.form for t in words))
-
-
 class Index:
     """Aliases of one source by key, with all starts of keys so that a walk ends early."""
 
@@ -108,11 +99,14 @@ class Index:
                 self.lemma[k].append(a)
             self.surface[a.surface_key].append(a)
         self.starts = [{k[:i] for k in keys for i in range(1, len(k) + 1)} for keys in (self.lemma, self.surface)]
+        self.firsts = [{k[0] for k in keys} for keys in (self.lemma, self.surface)]
 
     def matches(self, text: Text):
         """(start, end, surface, alias): all of a position before the next, by lemmas before by forms."""
-        for p in range(len(text.at)):
-            for surface, (keys, starts) in enumerate(zip((self.lemma, self.surface), self.starts, strict=True)):
+        for p, word in enumerate(text.words):
+            for surface, (keys, starts, firsts) in enumerate(zip((self.lemma, self.surface), self.starts, self.firsts, strict=True)):
+                if firsts.isdisjoint((word.form,) if surface else word.options()):
+                    continue
                 paths: list[tuple[str, ...]] = [()]
                 for q in range(p, len(text.at)):
                     words = [text.words[q].form] if surface else text.words[q].options()
@@ -421,9 +415,10 @@ class Document:
 
     def choose(self) -> list[tuple[Candidate, bool]]:
         """Chosen candidates, an outer one before its nested ones (OP-85, OP-86)."""
-        live = sorted((c for c in self.cands if not c.removed and c.score > 0), key=lambda c: (c.end, -c.start, -c.score, c.type, c.order))
-        live.sort(key=lambda c: (c.end, c.start, -c.score, c.type, c.order))
-        self.live = live
+        live = sorted((c for c in self.cands if not c.removed and c.score > 0), key=lambda c: (c.end, c.start, -c.score, c.type, c.order))
+        self.alive, self.at_range = {id(c) for c in live}, defaultdict(list)
+        for c in live:
+            self.at_range[c.start, c.end].append(c)
         ends = [c.end for c in live]
         memo: dict[int, tuple[float, list[Candidate]]] = {}
 
@@ -469,7 +464,7 @@ class Document:
         if c.labelled and any((p.start, p.end) == (c.start, c.end) for p in c.parts):
             same = []
         else:
-            same = [x for x in self.live if (x.start, x.end) == (c.start, c.end) and x.type != c.type and id(x) not in chosen]
+            same = [x for x in self.at_range[c.start, c.end] if x.type != c.type and id(x) not in chosen]
         found = {id(x): x for x in [*c.others, *same] if x.score > 0}
         return sorted(found.values(), key=lambda x: (-x.score, x.type))
 
@@ -498,7 +493,7 @@ class Document:
         refs, others = c.refs(), self.alternatives(c, chosen)
         covered = {p for x in c.parts for p in range(x.start, x.end)} if c.labelled else set()
         flags = c.flags | (S_NESTED if nested else 0)
-        tie = [x for x in others if x.score == c.score and x in self.live]
+        tie = [x for x in others if x.score == c.score and id(x) in self.alive]
         if len(refs) > 1 or len(normal) > 1 or tie:
             flags |= S_AMBIGUOUS
         for p, t in enumerate(words, c.start):
@@ -513,7 +508,7 @@ class Document:
                 flags |= S_PREDICTED
         alts = [{"type": x.type, "normal": x.normal_forms(), "refs": x.refs(), "score": x.score} for x in others]
         evidence = c.evidence + [f"tie with {x.type}" for x in tie]
-        raw = self.source.encode("utf-8")[words[0].start : last.end].decode("utf-8")
+        raw = self.source[words[0].rune_start : last.rune_end]
         return {"start": words[0].start, "end": last.end, "rune_start": words[0].rune_start, "rune_end": last.rune_end, "surface": raw, "type": c.type, "normal": normal, "refs": refs, "attrs": c.attrs(), "flags": flags, "score": c.score, "evidence": evidence, "alternatives": alts}
 
     def output(self, types=()) -> tuple[list[dict], list[dict]]:
