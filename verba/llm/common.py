@@ -2,13 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import os
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,88 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verba.runtime import prepare
-
-#: Rows up to which a side of (long, long) pairs may be broadcast: about 64 MB as a hash relation.
-BROADCAST_ROWS = 1_000_000
-#: Rows of a few numbers that a file of a scratch table holds, where their count is known.
-FILE_ROWS = 250_000
-
-_ROOTS: dict[str, tuple[SparkSession, str]] = {}
+from verba.scratch import BROADCAST_ROWS, FILE_ROWS, Scratch, ceil_div, shared_dir, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """This session's scratch folder below ``spark.checkpoint.dir``.
-
-    Where the session has no such setting (tests), a folder of its own is set.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="verba-scratch-")
-            spark.sparkContext.setCheckpointDir(base)
-        root = f"{base.rstrip('/')}/verba-{uuid.uuid4().hex}"
-        _ROOTS[app] = (spark, root)
-        atexit.register(sweep, spark)
-    return _ROOTS[app][1]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system, whatever store it is in."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete this session's scratch folders; a stopped session's only where they are local files."""
-    for app, (own, root) in list(_ROOTS.items()):
-        if own is spark:
-            del _ROOTS[app]
-            try:
-                remove(spark, root)
-            except Exception:  # the session is gone
-                if root.startswith("file:"):
-                    shutil.rmtree(root[5:].replace("//", "/", 1), ignore_errors=True)
-
-
-class Scratch:
-    """A folder of one operator call; ``keep`` writes a table there and rereads it.
-
-    Written tables cut lineage and survive lost executors.  ``drop`` deletes
-    tables that nothing reads any more.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-    def keep(self, df: DataFrame, name: str, rows: int | None = None, per: int = FILE_ROWS) -> DataFrame:
-        """Write and reread; of a table that has at most ``rows`` rows, ``per`` of them go into a file."""
-        path = f"{self.root}/{name}"
-        if rows is not None:
-            df = df.coalesce(max(1, ceil_div(rows, per)))
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str, files: bool = True) -> None:
-        """Delete tables; with ``files``, shuffle files of the jobs that wrote them may go too."""
-        for name in names:
-            remove(self.spark, f"{self.root}/{name}")
-        if files:  # Spark deletes shuffle files when the driver has collected the plans that hold them
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """The frame, hinted for broadcast if its counted rows are within the bound."""
-    return (F.broadcast(df), True) if df.limit(rows + 1).count() <= rows else (df, False)
-
-
 # --------------------------------------------------------------------------
 # words and shingles
 
@@ -257,5 +175,4 @@ def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
 
 
-def ceil_div(a: int, b: int) -> int:
-    return -(-a // b)
+__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "hashed", "mix", "prepare", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]
