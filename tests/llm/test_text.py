@@ -76,6 +76,10 @@ def test_markup(page, want):
         ("<article><p>A</p><script>for(i=0;i<n;i++){x(i)}</script><p>B</p></article>", "A\nB"),
         ("<article><p>A</p><STYLE>a{content:'<b'}</STYLE ><p>B</p><script>if(a<b)'</p>'", "A\nB"),
         ("<head><title>the <script> element</title></head><article>A<script src='x'/>B</article>", "AB"),
+        ("<article><a href=x title=it's>A</a> and it's B</article>", "A and it's B"),
+        ("<form id=aspnetForm><p>top</p><article><p>A<form>in</form></article></form>", "A"),
+        ("<article><section id='related-work'><h2>Related work</h2></section><div class='side-by-side'>B</div><div class='share-buttons'>s</div><div class=cookieBanner>c</div></article>", "Related work\nB"),
+        ("<article>A<ul class='related-posts'><li>r</ul><p data-id=\"ad\">B<p title='a > b'>C</article>", "A\nB\nC"),
         ("<div class='layout has-sidebar'><nav>n</nav><article><p>A<p>B</article><div class='sidebar'>s</div></div>", "A\nB"),
         ("<div id='search-results'>x<div role='main'>A</div></div>", "A"),
         ("<article>A<section class='comments'><article>c</article></section></article><div class='related'><article>r</article></div>", "A"),
@@ -105,6 +109,22 @@ def test_common_lines():
         assert all(x in it for x, h in zip(a, hit, strict=True) if h)
 
 
+def test_common_lines_of_long_pages(monkeypatch):
+    rnd = np.random.default_rng(2)
+    a, b = rnd.integers(0, 30, 900).tolist(), rnd.integers(0, 30, 700).tolist()
+    whole = html_diff.shared(a, b)
+    monkeypatch.setattr(html_diff, "CELLS", 500)
+    halves = html_diff.shared(a, b)
+    it = iter(b)
+    assert whole.sum() == halves.sum() and all(x in it for x, h in zip(a, halves, strict=True) if h)
+
+
+def test_common_start(spark):
+    rows = [("/a/b", "/a/c"), ("/a", "/a"), ("", "/x"), ("/abc", "/ab"), ("x", "y")]
+    got = spark.createDataFrame(rows, "a string, b string").select(html_diff.common_start(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r["n"] for r in got] == [3, 2, 0, 3, 0]
+
+
 def test_difference(spark):
     open_page = lambda body: f"<div>Top links</div><p>{body}</p><div>All rights reserved</div>"
     rows = [(i, f"http://h.org/a/{i}", open_page(f"Text {i}")) for i in range(6)] + [(10, "http://alone.org/x", open_page("One")), (11, None, None), (12, "http://c.org/1", open_page("Same")), (13, "http://c.org/2", open_page("Same")), (None, "http://h.org/a/9", open_page("N"))]
