@@ -206,17 +206,45 @@ def test_bounds():
 
 def test_archive(spark, tmp_path):
     big = "x" * 120
-    rows = [(3, "http://a/3", big), (1, "http://a/1", big), (2, None, "small"), (4, "u\r\nv", "small"), (5, "u", None), (6, "u", ""), (7, "u", "tail\r\n\r\nWARC/1.1\r\n" + "é" * 60), (None, "n", big)]
-    pages = prepare(spark).createDataFrame(rows, "page_id long, url string, html string")
-    warc.write_archive(pages, f"file://{tmp_path}/arc")
-    records = warc.read_archive(spark, f"file://{tmp_path}/arc")
+    rows = [(3, "http://a/3", big), (1, "http://a/1", big), (2, None, "small"), (4, "u\r\nv", "small"), (5, "u", None), (6, "u", ""), (7, "u", "tail\r\n\r\nWARC/1.1\r\n" + "é" * 60), (None, "n", big), (1, "http://a/1", big), (8, "u", "y" * 3_000_000)]
+    pages = prepare(spark).createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("c") for c in ("key", "payload", "sum", "head", "first", "digest")})
+    warc.write_files(pages, f"file://{tmp_path}/files")
+    warc.ingest(spark, f"file://{tmp_path}/files", f"file://{tmp_path}/arc")
+    records = warc.rebuilt(spark, f"file://{tmp_path}/arc")
     got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.described(records).collect()), key=str)
-    assert got == sorted([(1, 120, "response", None), (3, 120, "revisit", 1), (2, 5, "response", None), (4, 5, "response", None), (5, 0, "response", None), (6, 0, "response", None), (7, len(rows[6][2].encode()), "response", None), (None, 120, "response", None)], key=str)
-    assert spark.read.parquet(f"file://{tmp_path}/arc/payloads").count() == 4
-    warc.write_files(records, f"file://{tmp_path}/files")
-    back = {r["record_id"]: r for r in warc.read_files(spark, f"file://{tmp_path}/files/part-*").collect()}
-    whole = {bytes(r["record"]) for r in warc.rebuilt(records).collect()}
-    assert {r["header"].encode() + b"\r\n\r\n" + bytes(r["payload"]) + b"\r\n\r\n" for r in back.values()} <= whole
-    assert bytes(back["<urn:page:7>"]["payload"]).decode() == rows[6][2] and back["<urn:page:3>"]["refers_to"] == "<urn:page:1>"
-    with pytest.raises(ValueError):
-        list(warc.parse_records(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab"))
+    tail = len(rows[6][2].encode())
+    assert got == sorted([(1, 120, "response", None), (1, 120, "response", None), (3, 120, "revisit", 1), (2, 5, "response", None), (4, 5, "response", None), (5, 0, "response", None), (6, 0, "response", None), (7, tail, "response", None), (8, 3_000_000, "response", None), (None, 120, "response", None)], key=str)
+    assert spark.read.parquet(f"file://{tmp_path}/arc/payloads").count() == 5
+    # the rebuilt records are the files' bytes
+    import gzip
+
+    whole = b"".join(sorted(bytes(r["record"]) for r in records.collect()))
+    files = [gzip.decompress(p.read_bytes()) for p in (tmp_path / "files").glob("part-*")]
+    assert whole == b"".join(sorted(h + p + b"\r\n\r\n" for data in files for h, p in warc.parse_records(data, piece=7)))
+    assert sum(map(len, files)) == len(whole)
+    text = {bytes(r["payload"]).decode() for r in records.collect()}
+    assert text == {x or "" for _, _, x in rows}
+    empty = pages.where("page_id > 99")
+    warc.write_files(empty, f"file://{tmp_path}/none")
+    warc.ingest(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/arc0")
+    assert warc.described(warc.rebuilt(spark, f"file://{tmp_path}/arc0")).count() == 0
+
+
+def test_damaged_files():
+    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    assert list(warc.parse_records(good + good, piece=5)) == [(good[:-4], b"")] * 2
+    for bad in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab", good[:-1], b"x" + good, b"WARC/1.1\r\nA: b\r\n\r\n", good.replace(b"2", b"1")):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(bad))
+
+
+def test_archive_finds_changed_payloads(spark, tmp_path):
+    pages = prepare(spark).createDataFrame([(1, "u", "payload")], "page_id long, url string, html string")
+    warc.write_files(pages, f"file://{tmp_path}/files")
+    import gzip
+
+    (part,) = (tmp_path / "files").glob("part-*")
+    part.write_bytes(gzip.compress(gzip.decompress(part.read_bytes()).replace(b"payload", b"paYload")))
+    (tmp_path / "files" / f".{part.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="digest"):
+        warc.ingest(spark, f"file://{tmp_path}/files", f"file://{tmp_path}/arc")

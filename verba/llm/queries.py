@@ -79,14 +79,15 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the archive of all pages, reads it back and tells what its records say."""
+    """Writes all pages as WARC files, reads them into an archive, rebuilds the records and tells what they say."""
     from verba.llm import warc
     from verba.llm.common import Scratch
 
-    pages = table(spark, sf_dir, "pages")
-    path = f"{Scratch(spark, 'warc').root}/archive"
-    warc.write_archive(pages, path, least=100)
-    return warc.described(warc.read_archive(spark, path))
+    scratch = Scratch(spark, "warc")
+    warc.write_files(table(spark, sf_dir, "pages"), f"{scratch.root}/files", least=100)
+    warc.ingest(spark, f"{scratch.root}/files", f"{scratch.root}/archive")
+    scratch.drop("files")
+    return warc.described(warc.rebuilt(spark, f"{scratch.root}/archive"))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
