@@ -59,6 +59,18 @@ def sweep(spark: SparkSession) -> None:
                     shutil.rmtree(root[5:].replace("//", "/", 1), ignore_errors=True)
 
 
+def plainly(path: str) -> dict[str, str]:
+    """Write options of scratch files: no marker file, and in a local folder no checksum files.
+
+    Without Hadoop's native library each new local file starts a process to set its
+    mode, for a moment with the executor's whole memory; checksums make that four.
+    """
+    out = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+    if path.startswith("file:"):
+        out |= {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    return out
+
+
 class Scratch:
     """A folder of one operator call; ``keep`` writes a table there and rereads it.
 
@@ -75,7 +87,7 @@ class Scratch:
         path = f"{self.root}/{name}"
         if rows is not None:
             df = df.coalesce(max(1, ceil_div(rows, per)))
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").options(**plainly(path)).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str, files: bool = True) -> None:
