@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verba.runtime import prepare
-from verba.scratch import BROADCAST_ROWS, FILE_ROWS, Scratch, ceil_div, shared_dir, small
+from verba.scratch import BROADCAST_ROWS, FILE_ROWS, Scratch, ceil_div, plainly, shared_dir, small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,4 +175,4 @@ def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
 
 
-__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "hashed", "mix", "prepare", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "hashed", "mix", "plainly", "prepare", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]

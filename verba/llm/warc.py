@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, ceil_div, small
+from verba.llm.common import Scratch, ceil_div, plainly, small
 
 END = "\r\n"
 #: The capture time is not known; records carry this one.
@@ -79,7 +79,7 @@ def write_files(pages: DataFrame, path: str, least: int = 100, id_col: str = "pa
     head = header(again, F.coalesce(F.col("key").cast("string"), F.lit("none")), F.col("url"), F.col("sum"), F.col("first"), F.col("n"))
     text = F.concat(head, F.when(again, F.lit("")).otherwise(F.col("payload").cast("string")))
     out = named.select(text.alias("value")).coalesce(max(1, ceil_div(total, PER_FILE)))
-    out.write.mode("overwrite").option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    out.write.mode("overwrite").options(**plainly(path)).option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 # --------------------------------------------------------------------------
@@ -189,14 +189,14 @@ def ingest(spark: SparkSession, files: str, path: str) -> None:
     wrong = (F.col("payload_digest") != said) | said.isNull()
     digest = F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.lit("a payload does not have the digest that its record states")).cast("string")).otherwise(said)
     read = read.select("head", digest.alias("digest"), "record_digest", "payload")
-    read.select("head", "digest", "record_digest", F.col("payload").isNotNull().alias("whole")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/records")
+    read.select("head", "digest", "record_digest", F.col("payload").isNotNull().alias("whole")).write.mode("overwrite").options(**plainly(path)).option("compression", "zstd").parquet(f"{path}/records")
     # equal payloads of several responses meet; the others go straight to the store
     several = spark.read.parquet(f"{path}/records").where("whole").groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").select("digest")
     several, _ = small(several, 300_000)
     held = read.where("payload is not null").select("digest", "payload")
     once = held.join(several, "digest", "left_anti")
     met = held.join(several, "digest", "left_semi").groupBy("digest").agg(F.any_value("payload").alias("payload"))
-    once.unionByName(met).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/payloads")
+    once.unionByName(met).write.mode("overwrite").options(**plainly(path)).option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def rebuilt(spark: SparkSession, path: str) -> DataFrame:
