@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,6 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(run):
+    """A function over Arrow batches that leaves its worker without what the partition needed."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+def gathered(df: DataFrame, rows: int, per: int = 5000) -> DataFrame:
+    """The frame in no more tasks, and so files, than ``per`` of its rows each fill."""
+    return df.coalesce(max(1, ceil_div(rows, per)))
+
+
 # --------------------------------------------------------------------------
 # words and shingles
 
@@ -175,4 +199,4 @@ def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
 
 
-__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "hashed", "mix", "plainly", "prepare", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "gathered", "hashed", "mix", "plainly", "prepare", "settled", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]

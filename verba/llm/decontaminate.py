@@ -42,6 +42,8 @@ SHINGLE, LEAST = 5, 0.8
 #: Bits of a block and radius of the search.
 BITS, RADIUS = 8, 23
 BLOCKS = 64 // BITS
+#: Documents whose share of a scratch table fills a file.
+PER_FILE = 5000
 
 
 def words(col: str) -> str:
@@ -84,7 +86,7 @@ def anchors(items: DataFrame, k: int = SHINGLE) -> DataFrame:
     return near.select("word", "size", F.expr(f"slice(item, greatest(0, p - {k - 1}) + 1, least(p, n - 1) - greatest(0, p - {k - 1}) + 1)").alias("near")).distinct()
 
 
-def find_windows(docs: DataFrame, anchor: DataFrame, most: int, scratch: Scratch, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_windows(docs: DataFrame, total: int, anchor: DataFrame, most: int, scratch: Scratch, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, size, h): windows around a shared anchor shingle and their shingle hashes.
 
     The words of all texts meet the anchor words without carrying their text
@@ -95,7 +97,7 @@ def find_windows(docs: DataFrame, anchor: DataFrame, most: int, scratch: Scratch
     text = text.withColumns({"own": F.coalesce("doc_id", F.lit(-(1 << 63))), "th": F.xxhash64("text")})
     names, _ = small(anchor.select("word").distinct(), 200_000)
     hits = text.select("own", "th", F.posexplode(F.expr(words("text"))).alias("pos", "word")).join(names, "word")
-    hits = scratch.keep(hits.groupBy("own", "th").agg(F.collect_set(F.struct("pos", "word")).alias("hits")), "hits")
+    hits = scratch.keep(hits.groupBy("own", "th").agg(F.collect_set(F.struct("pos", "word")).alias("hits")), "hits", total, PER_FILE)
     rows = text.join(small(hits, 200_000)[0], ["own", "th"]).select("doc_id", "hits", F.expr(words("text")).alias("w"))
     region = f"struct(x.pos as pos, x.word as word, greatest(0, x.pos - {most - 1}) as base, slice(w, greatest(0, x.pos - {most - 1}) + 1, {2 * most - 1} + least(0, x.pos - {most - 1})) as part)"
     rows = rows.select("doc_id", F.size("w").alias("n"), F.inline(F.expr(f"transform(hits, x -> {region})")))
@@ -110,11 +112,13 @@ def find_windows(docs: DataFrame, anchor: DataFrame, most: int, scratch: Scratch
 def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, start): the best window of each item that a document leaks."""
     scratch = Scratch(docs.sparkSession, "leaks")
-    items = scratch.keep(prepared(benchmark, k).withColumn("fp", F.expr(simhash("item"))), "items")
+    n_items = benchmark.count()
+    items = scratch.keep(prepared(benchmark, k).withColumn("fp", F.expr(simhash("item"))), "items", n_items, PER_FILE)
     most = items.agg(F.max("size")).first()[0] or 1
-    wins = find_windows(docs, scratch.keep(anchors(items, k), "anchors"), most, scratch, k, id_col, text_col)
-    wins = scratch.keep(wins.withColumn("key", F.expr("xxhash64(h, size)")), "windows")
-    texts = scratch.keep(wins.groupBy("size", "key").agg(F.any_value("h").alias("h")).withColumn("wfp", F.expr(simhash("h"))), "texts")
+    total = docs.count()
+    wins = find_windows(docs, total, scratch.keep(anchors(items, k), "anchors", n_items, PER_FILE), most, scratch, k, id_col, text_col)
+    wins = scratch.keep(wins.withColumn("key", F.expr("xxhash64(h, size)")), "windows", total, PER_FILE)
+    texts = scratch.keep(wins.groupBy("size", "key").agg(F.any_value("h").alias("h")).withColumn("wfp", F.expr(simhash("h"))), "texts", total, PER_FILE)
 
     block = lambda fp: F.expr(f"transform(sequence(0, {BLOCKS - 1}), j -> struct(j, cast(shiftright({fp}, j * {BITS}) & {(1 << BITS) - 1} as int) as v))")
     own = items.select("item_key", "size", "fp", F.inline(block("fp")))
@@ -123,7 +127,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
     near = seen.join(small(own.select("item_key", "size", "fp", "j", "v"), 400_000)[0], ["size", "j", "v"]).where(f"bit_count(wfp ^ fp) <= {RADIUS}")
     near = near.groupBy("size", "key", "item_key").agg(F.any_value("h").alias("h"))
     found = near.join(small(items.select("item_key", "item_id", "size", "item"), 20_000)[0], ["item_key", "size"]).withColumn("similarity", F.expr(similarity("h", "item")))
-    found = scratch.keep(found.where(F.col("similarity") >= least).select("size", "key", "item_id", "similarity"), "found")
+    found = scratch.keep(found.where(F.col("similarity") >= least).select("size", "key", "item_id", "similarity"), "found", total, PER_FILE)
     hit = wins.select("doc_id", "start", "size", "key").join(small(found)[0], ["size", "key"])
     best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start"))

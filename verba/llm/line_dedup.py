@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, small
+from verba.llm.common import Scratch, settled, small
 
 LAST = (1 << 63) - 1
 LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, nx1 int, lo2 int, hi2 int, m2 int, nx2 int"
@@ -82,7 +82,7 @@ def _lines(least: int):
             types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.int32()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)).cast(t) for c, t in zip(out, types, strict=True)], _NAMES)
 
-    return run
+    return settled(run)
 
 
 def _mask(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import distinct, hashed, prepare
+from verba.llm.common import distinct, hashed, prepare, settled
 
 #: Word buckets, rank of the interactions, most labelled rows of the training sample.
 BUCKETS, RANK, MAX_TRAIN = 1 << 13, 8, 6000
@@ -144,7 +144,7 @@ def _features(buckets: int):
                 ["y", "cols", "vals", "stats"],
             )
 
-    return run
+    return settled(run)
 
 
 def sample(rows: DataFrame, most: int, *by: str) -> DataFrame:
@@ -200,7 +200,7 @@ def _score(model, buckets: int, keep: list[str]):
             out = [m.score(*rows_of(text.slice(at, 256), buckets)) if m else np.full(len(text.slice(at, 256)), 0.5) for at in range(0, len(text), 256)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*keep, "score"])
 
-    return run
+    return settled(run)
 
 
 def score(docs: DataFrame, model: Machine | None, keep: list[str], buckets: int = BUCKETS) -> DataFrame:

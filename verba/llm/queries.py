@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verba.llm.common import table
+from verba.llm.common import gathered, table
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text without later copies of line runs of 50 words or more."""
     from verba.llm.line_dedup import dedup_lines
 
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return gathered(dedup_lines(docs, min_words=50), docs.count())
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,13 +38,15 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's whole text, and the text that they decode to."""
     from verba.llm.sentencepiece_fst import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), decoded=True)
+    docs = table(spark, sf_dir, "documents")
+    return gathered(encode_documents(docs, tokenizer("piece_bpe_32k.model"), decoded=True), docs.count())
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.token_counts import token_counts
 
-    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents")
+    return gathered(token_counts(docs, tokenizer("piece_bpe_32k.model")), docs.count())
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +68,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_fm.train(labelled(docs, labels))
-    out = quality_fm.score(docs.select("doc_id", "text"), model, ["doc_id"])
+    out = gathered(quality_fm.score(docs.select("doc_id", "text"), model, ["doc_id"]), docs.count())
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

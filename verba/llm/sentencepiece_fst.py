@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm import piece_model
+from verba.llm.common import settled
 from verba.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, Memo, PieceModel
 
 INF = float("inf")
@@ -267,7 +268,7 @@ def _run(path: str, decoded: bool):
             yield pa.RecordBatch.from_arrays(cols, names)
         t.forget()
 
-    return run
+    return settled(run)
 
 
 def encode_documents(docs: DataFrame, path: str, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -283,7 +284,7 @@ def _decode(path: str):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.decode(x.as_py() or []) for x in b.column(1)], pa.string())], ["id", "text"])
 
-    return run
+    return settled(run)
 
 
 def decode_documents(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm import piece_model
+from verba.llm.common import settled
 from verba.llm.piece_model import SPACE, Memo
 
 
@@ -107,7 +108,7 @@ def _run(path: str):
             yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array([c.count(t.as_py()) for t in text], pa.int64())], ["id", "n_bytes", "n_tokens"])
         c.forget()
 
-    return run
+    return settled(run)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
