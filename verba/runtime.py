@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 
 #: Bytes of an Arrow batch on its way to a Python worker; a longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
