@@ -71,15 +71,15 @@ def test_resolution():
 
 def test_details(spark):
     spans = {(r["doc_id"], r["surface"]): r for r in catalog.golden_spans(spark).collect()}
-    vera = spans["two", "Вера"]
-    assert vera["refs"] == ["given_name:2", "given_name:3"] and vera["score"] == 2.75 and vera["flags"] & 1
-    trig = spans["trigger", "деревне Сидоровке"]
-    assert trig["flags"] & 8 and trig["flags"] & 2 and trig["normal"] == ["сидоровка"] and trig["refs"] == []
-    assert spans["dot", "крест."]["flags"] & 4
-    person = spans["person", "Анна Петрова Кузнецова"]
-    assert person["normal"] == ["Анна Петров Кузнецов"] and not person["flags"] & 8
-    assert spans["person", "Анна"]["flags"] & 16
-    assert spans["peasant", "деревни Лягушкиной"]["attrs"] == {"division_type": "деревня"}
+    lake = spans["lake", "оз. Налимье"]
+    assert lake["refs"] == ["w:20", "w:21"] and lake["score"] == 8.25 and lake["flags"] & 1 and lake["evidence"] == ["hint «оз» → lake +2"]
+    guess = spans["guess", "Журавлихе"]
+    assert guess["flags"] & 8 and guess["flags"] & 2 and guess["normal"] == ["журавлиха"] and guess["refs"] == []
+    assert spans["level", "м."]["flags"] & 4
+    basin = spans["basin", "Налимье — Кедровка"]
+    assert basin["normal"] == ["Налимье Кедровка"] and not basin["flags"] & 8
+    assert spans["basin", "Налимье"]["flags"] & 16
+    assert spans["plain", "Кедровке"]["attrs"] == {"bed": "stone"}
 
 
 def test_golden_cases():

@@ -23,10 +23,10 @@ def test_stream(spark, tmp_path):
     compiled = catalog.golden_compiled(spark, forms)
     p = ner.Pipeline(fixtures.NER_PROFILES, "text", compile_book(load(fixtures.RULES)))
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.json").write_text(json.dumps({"doc_id": 1, "text": "жил на ул. Мира"}, ensure_ascii=False))
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"doc_id": 1, "text": "лёд на оз. Налимье"}, ensure_ascii=False))
     stream = spark.readStream.schema("doc_id long, text string").json(f"file://{tmp_path}/in")
     start(stream, lambda: (compiled, forms, p), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination(120)
-    assert [r["surface"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["ул. Мира"]
+    assert [r["surface"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == ["оз. Налимье"]
 
 
 def test_command_line(spark, tmp_path, capsys):
