@@ -196,6 +196,23 @@ def test_search(spark):
     assert 900 not in got
 
 
+def test_search_with_large_components_and_rounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BROADCAST_BYTES", 200)
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    rnd = np.random.default_rng(6)
+    vecs = [(i, [float(x) for x in rnd.choice([-1, 1], 8) * 10.0 ** rnd.integers(0, 9, 8)]) for i in range(0, 600, 4)]
+    vecs += [(1000, [2e6] * 8), (1001, [2e6] * 8), (1002, [3e6] + [0.0] * 7), (1100, [-1.0, *[0.0] * 7])]
+    df = prepare(spark).createDataFrame(vecs, "vec_id long, embedding array<double>").repartition(3).withColumns({c: F.lit(1) for c in ("dim", "qb", "id", "rank")})
+    got = {}
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), k=10).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = {i: [int(np.floor(1024 * x)) for x in v] for i, v in vecs}
+    for q in (i for i in whole if i % 100 == 0):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q)[:10]
+        assert sorted(got[q]) == [(n, i, max(-topk.LONG - 1, min(topk.LONG, -s))) for n, (s, i) in enumerate(best, 1)]
+    assert topk.top_k(df.where("vec_id < 0"), df.where("vec_id < 0")).count() == 0
+
+
 def test_bounds():
     rng = np.random.default_rng(1)
     a, b = rng.integers(-900, 900, (20, 64)), rng.integers(-900, 900, (30, 64))
