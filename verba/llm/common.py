@@ -35,6 +35,12 @@ def settled(run):
     return whole
 
 
+def light(df: DataFrame, size: str, most: int = 64 << 20) -> DataFrame:
+    """The frame, hinted for broadcast if its rows, each of ``size`` bytes by that expression, are within the bound."""
+    total = df.agg(F.sum(F.expr(size).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
 def gathered(df: DataFrame, rows: int, per: int = 5000) -> DataFrame:
     """The frame in no more tasks, and so files, than ``per`` of its rows each fill."""
     return df.coalesce(max(1, ceil_div(rows, per)))
@@ -199,4 +205,4 @@ def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
 
 
-__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "gathered", "hashed", "mix", "plainly", "prepare", "settled", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "gathered", "hashed", "light", "mix", "plainly", "prepare", "settled", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]

@@ -25,7 +25,8 @@ beyond four deviations.  Item tables are broadcast only within a counted bound.
 
 Defined results: null or empty texts and items have no words and leak nothing;
 items that repeat (id and text) count once; of an item's equal windows the first
-is reported.  Documents with a null id are reported under null, as are items with a
+is reported.  Very long texts are searched whole, and a long item widens the windows
+of its own anchor words only; empty tables leak nothing.  Documents with a null id are reported under null, as are items with a
 null id; repeated rows once.
 Extra columns are ignored.
 """
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, small
+from verba.llm.common import Scratch, light, small
 
 #: Words of a shingle, least similarity.
 SHINGLE, LEAST = 5, 0.8
@@ -86,22 +87,23 @@ def anchors(items: DataFrame, k: int = SHINGLE) -> DataFrame:
     return near.select("word", "size", F.expr(f"slice(item, greatest(0, p - {k - 1}) + 1, least(p, n - 1) - greatest(0, p - {k - 1}) + 1)").alias("near")).distinct()
 
 
-def find_windows(docs: DataFrame, total: int, anchor: DataFrame, most: int, scratch: Scratch, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_windows(docs: DataFrame, total: int, anchor: DataFrame, scratch: Scratch, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start, size, h): windows around a shared anchor shingle and their shingle hashes.
 
     The words of all texts meet the anchor words without carrying their text
     along.  Texts with a hit are then read once more, and each hit gets the words
-    around it, at most twice the largest item's.
+    around it, at most twice those of the largest item that its word anchors.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     text = text.withColumns({"own": F.coalesce("doc_id", F.lit(-(1 << 63))), "th": F.xxhash64("text")})
-    names, _ = small(anchor.select("word").distinct(), 200_000)
+    names = light(scratch.keep(anchor.groupBy("word").agg((F.max("size") - 1).alias("reach")), "words", total, PER_FILE), "64 + octet_length(word)")
     hits = text.select("own", "th", F.posexplode(F.expr(words("text"))).alias("pos", "word")).join(names, "word")
-    hits = scratch.keep(hits.groupBy("own", "th").agg(F.collect_set(F.struct("pos", "word")).alias("hits")), "hits", total, PER_FILE)
-    rows = text.join(small(hits, 200_000)[0], ["own", "th"]).select("doc_id", "hits", F.expr(words("text")).alias("w"))
-    region = f"struct(x.pos as pos, x.word as word, greatest(0, x.pos - {most - 1}) as base, slice(w, greatest(0, x.pos - {most - 1}) + 1, {2 * most - 1} + least(0, x.pos - {most - 1})) as part)"
+    hits = scratch.keep(hits.groupBy("own", "th").agg(F.collect_set(F.struct("pos", "word", "reach")).alias("hits")), "hits", total, PER_FILE)
+    rows = text.join(light(hits, "64 + 64 * size(hits)"), ["own", "th"]).select("doc_id", "hits", F.expr(words("text")).alias("w"))
+    base = "greatest(0, x.pos - x.reach)"
+    region = f"struct(x.pos as pos, x.word as word, {base} as base, slice(w, {base} + 1, 2 * x.reach + 1 + least(0, x.pos - x.reach)) as part)"
     rows = rows.select("doc_id", F.size("w").alias("n"), F.inline(F.expr(f"transform(hits, x -> {region})")))
-    rows = rows.join(small(anchor, 200_000)[0], "word")
+    rows = rows.join(light(anchor, "64 + octet_length(word) + 8 * size(near)"), "word")
     around = f"slice(part, greatest(0, pos - base - {k - 1}) + 1, {2 * k - 1} + least(0, pos - base - {k - 1}))"
     rows = rows.where(f"size < {k} or arrays_overlap(near, {shingles(around, k)})")
     rows = rows.select("doc_id", "size", "base", "part", F.explode(F.expr("if(n <= size, array(0), sequence(greatest(0, pos - size + 1), least(pos, n - size)))")).alias("start"))
@@ -114,9 +116,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
     scratch = Scratch(docs.sparkSession, "leaks")
     n_items = benchmark.count()
     items = scratch.keep(prepared(benchmark, k).withColumn("fp", F.expr(simhash("item"))), "items", n_items, PER_FILE)
-    most = items.agg(F.max("size")).first()[0] or 1
     total = docs.count()
-    wins = find_windows(docs, total, scratch.keep(anchors(items, k), "anchors", n_items, PER_FILE), most, scratch, k, id_col, text_col)
+    wins = find_windows(docs, total, scratch.keep(anchors(items, k), "anchors", n_items, PER_FILE), scratch, k, id_col, text_col)
     wins = scratch.keep(wins.withColumn("key", F.expr("xxhash64(h, size)")), "windows", total, PER_FILE)
     texts = scratch.keep(wins.groupBy("size", "key").agg(F.any_value("h").alias("h")).withColumn("wfp", F.expr(simhash("h"))), "texts", total, PER_FILE)
 
@@ -124,9 +125,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, least: float
     own = items.select("item_key", "size", "fp", F.inline(block("fp")))
     own = own.select("item_key", "size", "fp", "j", F.explode(F.expr(f"filter(sequence(0, {(1 << BITS) - 1}), u -> bit_count(u ^ v) <= {RADIUS // BLOCKS})")).alias("v"))
     seen = texts.select("size", "key", "h", "wfp", F.inline(block("wfp")))
-    near = seen.join(small(own.select("item_key", "size", "fp", "j", "v"), 400_000)[0], ["size", "j", "v"]).where(f"bit_count(wfp ^ fp) <= {RADIUS}")
+    near = seen.join(light(own.select("item_key", "size", "fp", "j", "v"), "64"), ["size", "j", "v"]).where(f"bit_count(wfp ^ fp) <= {RADIUS}")
     near = near.groupBy("size", "key", "item_key").agg(F.any_value("h").alias("h"))
-    found = near.join(small(items.select("item_key", "item_id", "size", "item"), 20_000)[0], ["item_key", "size"]).withColumn("similarity", F.expr(similarity("h", "item")))
+    found = near.join(light(items.select("item_key", "item_id", "size", "item"), "64 + 8 * size(item)"), ["item_key", "size"]).withColumn("similarity", F.expr(similarity("h", "item")))
     found = scratch.keep(found.where(F.col("similarity") >= least).select("size", "key", "item_id", "similarity"), "found", total, PER_FILE)
     hit = wins.select("doc_id", "start", "size", "key").join(small(found)[0], ["size", "key"])
     best = hit.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, settled, small
+from verba.llm.common import Scratch, light, settled
 
 LAST = (1 << 63) - 1
 LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, nx1 int, lo2 int, hi2 int, m2 int, nx2 int"
@@ -148,7 +148,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     scratch = Scratch(docs.sparkSession, "lines")
     gone = repeated_runs(docs, scratch, min_words, id_col, text_col)
     masks = gone.groupBy("did", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.collect_list("nx").alias("nx")).mapInArrow(_mask, "did long, th long, gone array<boolean>")
-    masks, _ = small(scratch.keep(masks, "masks"), 200_000)
+    masks = light(scratch.keep(masks, "masks"), "64 + size(gone)")
     did, th = _key(id_col, text_col)
     names = [c for c in docs.columns]
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), did, th).join(masks, ["did", "th"], "left")
