@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from verba.llm.common import gathered, table
 
+#: Rows of a few numbers that a result's file holds at least.
+NARROW = 20_000
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.ngram_join import ngram_components
@@ -46,7 +49,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verba.llm.token_counts import token_counts
 
     docs = table(spark, sf_dir, "documents")
-    return gathered(token_counts(docs, tokenizer("piece_bpe_32k.model")), docs.count())
+    return gathered(token_counts(docs, tokenizer("piece_bpe_32k.model")), docs.count(), NARROW)
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +71,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality_fm.train(labelled(docs, labels))
-    out = gathered(quality_fm.score(docs.select("doc_id", "text"), model, ["doc_id"]), docs.count())
+    out = gathered(quality_fm.score(docs.select("doc_id", "text"), model, ["doc_id"]), docs.count(), NARROW)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
