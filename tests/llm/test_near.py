@@ -8,7 +8,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from verba.llm import decontaminate, line_dedup, ngram_join
+from verba.llm import common, decontaminate, line_dedup, ngram_join
 
 
 def grams(text, k):
@@ -155,6 +155,28 @@ def test_lines_edges(frame):
     assert line_dedup.dedup_lines(frame(rows).where("doc_id > 99")).count() == 0
 
 
+def test_lines_that_many_documents_share(frame, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    rnd = random.Random(9)
+    shared = [" ".join(f"s{i}w{j}" for j in range(7)) for i in range(3)]
+    rows = [(i, "\n".join([f"own {i}", *(shared if i % 3 else shared[:2]), *rnd.sample(shared, rnd.randrange(3))])) for i in range(90)]
+    rows += [(200, "\n".join(["again " * 25] * 5)), (201, "\n".join(f"line {j} of one very long text" for j in range(30000)))]
+    for least in (7, 14, 50):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(frame(rows), least).collect()}
+        few = [r for r in rows if r[0] < 201]
+        assert got == without_copies(few, least) | {201: rows[-1][1]}
+    assert got[200] == "again " * 25
+
+
+def test_dealt_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 8)
+    keys = [1] * 60 + [2] * 25 + list(range(3, 20)) + [30]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    side = spark.createDataFrame([(k, f"v{k}", keys.count(k)) for k in set(keys) - {30}], "k long, v string, c long")
+    got = sorted(tuple(r) for r in common.dealt_join(rows, side, ["k"], len(keys), ["i"]).select("k", "i", "v").collect())
+    assert got == sorted((k, i, f"v{k}") for i, k in enumerate(keys) if k != 30)
+
+
 def leaked(docs, items, least=0.8):
     words = lambda t: [x for x in regex.sub(r"[^\p{L}\p{N}]+", " ", (t or "").lower()).split(" ") if x]
     bag = lambda w: collections.Counter([tuple(w)] if len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])

@@ -41,6 +41,24 @@ def light(df: DataFrame, size: str, most: int = 64 << 20) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
+#: A key with more than one ``HOT``th of all rows is dealt over several tasks.
+HOT = 512
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, keys: list[str], total: int, by: list[str]) -> DataFrame:
+    """``rows`` joined with ``side``, whose keys are unique and whose ``c`` counts a key's rows, of ``total`` at most.
+
+    A hot key's rows are dealt by a hash of the columns ``by``, and its row of ``side`` is
+    repeated for each deal.  Fewer than ``HOT`` keys can be hot, so that these are broadcast.
+    """
+    least = ceil_div(max(total, 1), HOT)
+    deals = F.ceil(F.col("c") / least).cast("long")
+    hot = side.where(F.col("c") > least).select(*keys, deals.alias("deals"))
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn("deal", F.coalesce(F.expr(f"pmod(xxhash64({', '.join(by)}), deals)"), F.lit(0).cast("long"))).drop("deals")
+    side = side.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), deals - 1))).drop("c")
+    return rows.join(side, [*keys, "deal"]).drop("deal")
+
+
 def gathered(df: DataFrame, rows: int, per: int = 5000) -> DataFrame:
     """The frame in no more tasks, and so files, than ``per`` of its rows each fill."""
     return df.coalesce(max(1, ceil_div(rows, per)))
@@ -205,4 +223,4 @@ def components(edges: DataFrame, scratch: Scratch, rows: int | None = None, most
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(own)
 
 
-__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "distinct", "gathered", "hashed", "light", "mix", "plainly", "prepare", "settled", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]
+__all__ = ["BROADCAST_ROWS", "FILE_ROWS", "Scratch", "ceil_div", "components", "dealt_join", "distinct", "gathered", "hashed", "light", "mix", "plainly", "prepare", "settled", "shared_dir", "shingle_set", "shingle_sets", "shingles", "small", "table"]

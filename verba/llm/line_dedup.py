@@ -19,12 +19,15 @@ line).  Later copies of every maximal repeated run are deleted.
    ``min_words`` words: within a longer one each line is in the shortest run from
    the start, or in the shortest run that ends at the line.  So levels end at
    ``log2(min_words)``, and no interval is ever gathered: only minima by interval.
+   The rows of a rank or interval that many documents share are dealt over tasks.
 
 Defined results: null text stays null, empty text stays; an empty line goes if the
 nearest other lines on both sides go; rows that repeat a doc_id and its text are one document and stay
 alike; rows of one doc_id with other texts are documents of their own, in order
 of a hash of the text; null ids come last in order.  A text whose lines are all
-copies becomes empty.  Other columns stay as they are.
+copies becomes empty.  A later copy may overlap the first one (a line that follows itself
+again and again): all of its lines go, those of the first copy too.  Texts of any length
+are read whole.  Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, light, settled
+from verba.llm.common import Scratch, dealt_join, light, settled
 
 LAST = (1 << 63) - 1
 LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, nx1 int, lo2 int, hi2 int, m2 int, nx2 int"
@@ -113,10 +116,10 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
 
     def ranked(keyed: DataFrame, k: int, most: int) -> DataFrame:
         """Positions whose (r1, r2) another shares, with ranks in the order of the pairs."""
-        classes = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1").select("r1", "r2")
+        classes = keyed.groupBy("r1", "r2").agg(F.count("*").alias("c")).where("c > 1")
         classes = classes.repartitionByRange(parts, "r1", "r2").sortWithinPartitions("r1", "r2")
         classes = scratch.keep(classes.withColumn("r", F.monotonically_increasing_id()), f"ranks{k}", most)
-        kept = keyed.join(classes, ["r1", "r2"]).select("did", "th", "o", "r")
+        kept = dealt_join(keyed, classes, ["r1", "r2"], most, ["did", "th", "o"]).select("did", "th", "o", "r")
         return scratch.keep(kept.distinct() if k == 0 else kept, f"level{k}", most)  # repeated rows are one document
 
     level = ranked(lines.select("did", "th", "o", F.col("id1").alias("r1"), F.col("id2").alias("r2")), 0, most)
@@ -139,8 +142,11 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
     runs = runs.withColumn("e", F.expr("cast(o + m - shiftleft(1, k) as int)"))
     runs = runs.join(names.select("did", "th", F.col("o").alias("e"), "k", F.col("r").alias("r2")), ["did", "th", "e", "k"])
     runs = scratch.keep(runs.select("did", "th", "o", "m", "r1", "r2", "lo", "hi", "nx").distinct(), "runs", 2 * most0)
+    n = runs.count()
     earliest = runs.groupBy("m", "r1", "r2").agg(F.min(F.struct("did", "th", "o")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    return runs.join(earliest, ["m", "r1", "r2"]).where(F.struct("did", "th", "o") > F.col("first")).select("did", "th", "lo", "hi", "nx")
+    earliest = scratch.keep(earliest, "earliest", n)
+    later = dealt_join(runs, earliest, ["m", "r1", "r2"], n, ["did", "th", "o"]).where(F.struct("did", "th", "o") > F.col("first"))
+    return later.select("did", "th", "lo", "hi", "nx")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
