@@ -53,6 +53,38 @@ def corpus(seed, n, group):
     return list(enumerate(rows))
 
 
+def test_ngram_tasks_over_wide_rows_stay_apart(spark, frame, monkeypatch):
+    """Rows that carry whole sets are multiplied in the tasks of their shuffle, not in one for each file of links."""
+    tasks, own, kept = spark.sparkContext.accumulator(0), ngram_join._rows_by_blocks, {}
+    keep = common.Scratch.keep
+
+    def counted(num, den):
+        run = own(num, den)
+
+        def whole(batches):
+            tasks.add(1)
+            yield from run(batches)
+
+        return whole
+
+    def seen(self, df, name, *args, **more):
+        out = keep(self, df, name, *args, **more)
+        kept[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_rows_by_blocks", counted)
+    monkeypatch.setattr(common.Scratch, "keep", seen)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*words[i * 9 : i * 9 + 60], f"x{i // 2}" * (i % 2)])) for i in range(40)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(rows), 4, 85, 100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == components(rows, 4, 85, 100)
+    assert tasks.value == 4 and kept["links"] <= 1 and kept["cells"] <= 1
+
+
 def test_join_against_brute_force(frame, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 8)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
