@@ -136,6 +136,19 @@ def test_difference(spark):
     assert html_diff.extract(pages.where("page_id > 99")).count() == 0
 
 
+def test_every_page_is_differenced(spark):
+    """Differencing acts on pages with an article too; the check then keeps the article whole and nothing else."""
+    page = lambda i, body: f"<nav><p>Home</p><p>Offer {i}</p></nav><article><p>Quoted line</p><p>{body}</p></article><footer>Imprint</footer>"
+    plain = lambda i: f"<nav><p>Menu {i}</p></nav><p>Same</p><aside><p>Text 1</p></aside>"
+    rows = [(i, f"http://h.org/a/{i}", page(i, f"Text {i}")) for i in range(4)] + [(7, "http://h.net/1", plain(1)), (8, "http://h.net/2", plain(2)), (9, "http://h.net/3", "<p>Text 1</p><p>Own</p>"), (10, "http://one.org/", page(1, "x"))]
+    pages = prepare(spark).createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: (r["text"], r["n_shared"]) for r in html_diff.extract(pages).collect()}
+    # shared: Home, Quoted line, Imprint
+    assert all(got[i] == (f"Quoted line\nText {i}", 3) for i in range(4))
+    # copies beside their furniture keep their lines, and furniture deletes no line but furniture
+    assert got[7] == got[8] == ("Same", 1) and got[9] == ("Text 1\nOwn", 0) and got[10] == ("Quoted line\nx", 0)
+
+
 def test_urls(spark):
     rows = [(1, "HTTP://A.Net/x?y"), (2, "https://sub.example.net/en/1"), (3, "http://example.net/de/"), (4, "http://x.example.com/de/a#b"), (5, "http://example.com/en/"), (6, "http://a.org/fr/1"), (7, "http://net"), (8, None), (9, "no scheme"), (10, "http://notnet/x"), (11, "http://h?u=http://net/")]
     rows += [(100 + i, f"http://{'spam' if i % 2 else 'good'}{i}.{'net' if i % 2 else 'org'}/{'x' if i % 2 else 'fr'}/{i}") for i in range(200)]
