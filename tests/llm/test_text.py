@@ -54,6 +54,27 @@ def test_counts(lib, frame):
     assert got == sorted([(1, 5, len(lib.encode("é to")), True), (2, 0, 0, False), (None, 0, 0, False)], key=str)
 
 
+def test_counts_of_many_texts_take_few_calls(lib, monkeypatch):
+    from verba.llm import token_counts
+
+    class Watched:
+        calls = 0
+
+        def encode(self, *a, **b):
+            Watched.calls += 1
+            return lib.encode(*a, **b)
+
+    c = token_counts.Counter(public.path(MODEL))
+    c.lib = Watched()
+    texts = [f"brandish{i}ly to unheard{i}\nof{i} x{i}" for i in range(300)]
+    assert c.counts(texts) == [len(lib.encode(t)) for t in texts] and Watched.calls < 10
+    mixed = [None, "", *odd_texts(), *texts[:20], *odd_texts()]
+    for group in (1, 7, 1 << 18):
+        monkeypatch.setattr(token_counts, "GROUP", group)
+        c.forget()
+        assert c.counts(iter(mixed)) == [len(lib.encode(t or "")) for t in mixed]
+
+
 @pytest.mark.parametrize(
     "page,want",
     [

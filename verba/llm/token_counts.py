@@ -3,8 +3,8 @@
 Offline, each vocabulary string that starts with the space mark is encoded
 alone; those that come out as their own single token are proved.  Pre-tokens
 (words between spaces) that are proved count 1 without any merging; only the
-rest go to the library, and recent ones are remembered within a partition, in
-bounded memory.
+rest go to the library, those of many texts in one call, and recent ones are
+remembered within a partition, in bounded memory.
 
 Splitting at spaces and line feeds is sound as no piece holds the space mark
 after another character, and none holds a line feed beside another character;
@@ -19,6 +19,7 @@ text is counted whole; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -31,6 +32,10 @@ from verba.llm.common import settled
 from verba.llm.piece_model import SPACE, Memo
 
 
+#: Characters of lines whose pre-tokens are looked up at once: a call of the library for a list starts a thread.
+GROUP = 1 << 18
+
+
 class Counts(Memo):
     """Counts of new strings are made all at once."""
 
@@ -72,25 +77,44 @@ class Counter:
         self.plain.clear()
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
+        return self.counts([text])[0]
+
+    def counts(self, texts: Iterable[str | None]) -> list[int]:
+        """The texts' counts; pre-tokens of many texts are looked up, and new ones merged, in one call."""
         if not self.splits:
-            return len(self.lib.encode(text))
-        total = self.feed * text.count("\n")
-        for k, line in enumerate(text.split("\n")):
-            if not line:
-                total += self.lone if k == 0 else 0
-                continue
-            if "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
-                parts = self.parts.findall((SPACE if k == 0 else "") + line.replace(" ", SPACE))
-                total += sum(map(self.plain.of(parts).__getitem__, parts))
-                continue
-            parts = line.split(" ")
-            if k:
-                total += self.plain.of(parts[:1])[parts[0]]
-                del parts[0]
-            total += sum(map(self.spaced.of(parts).__getitem__, parts))
-        return total
+            return [len(self.lib.encode(t)) if t else 0 for t in texts]
+        totals: list[int] = []
+        spaced: list[tuple[int, list[str]]] = []
+        plain: list[tuple[int, list[str]]] = []
+
+        def add() -> None:
+            for memo, held in ((self.spaced, spaced), (self.plain, plain)):
+                known = memo.of([p for _, parts in held for p in parts])
+                for i, parts in held:
+                    totals[i] += sum(map(known.__getitem__, parts))
+                held.clear()
+
+        size = 0
+        for i, text in enumerate(texts):
+            totals.append(self.feed * text.count("\n") if text else 0)
+            for k, line in enumerate(text.split("\n") if text else ()):
+                if not line:
+                    totals[i] += self.lone if k == 0 else 0
+                    continue
+                if "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
+                    plain.append((i, self.parts.findall((SPACE if k == 0 else "") + line.replace(" ", SPACE))))
+                else:
+                    parts = line.split(" ")
+                    if k:
+                        plain.append((i, parts[:1]))
+                        del parts[0]
+                    spaced.append((i, parts))
+                size += len(line)
+                if size >= GROUP:
+                    add()
+                    size = 0
+        add()
+        return totals
 
 
 @lru_cache(maxsize=4)
@@ -105,7 +129,7 @@ def _run(path: str):
         for b in batches:
             text = b.column(1)
             size = pc.fill_null(pc.binary_length(text), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array([c.count(t.as_py()) for t in text], pa.int64())], ["id", "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), size, pa.array(c.counts(t.as_py() for t in text), pa.int64())], ["id", "n_bytes", "n_tokens"])
         c.forget()
 
     return settled(run)
