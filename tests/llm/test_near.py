@@ -1,6 +1,7 @@
 """N-gram join, line dedup and decontamination against brute force, and their edge cases."""
 
 import collections
+import glob
 import random
 
 import numpy as np
@@ -187,6 +188,19 @@ def test_lines_edges(frame):
     assert line_dedup.dedup_lines(frame(rows).where("doc_id > 99")).count() == 0
 
 
+def test_line_dedup_starts_few_files(spark, frame, monkeypatch):
+    rows = [(i, f"{' '.join(f'w{i % 5}_{j}' for j in range(60))}\nend {i}") for i in range(40)]
+    made = lambda root: len(glob.glob(f"{root.removeprefix('file:').replace('//', '/')}/lines/part-*"))
+    found = []
+    for size in (common.TASK_BYTES, 4000):
+        monkeypatch.setattr(common, "TASK_BYTES", size)
+        scratch = common.Scratch(spark, "few")
+        gone = sorted(tuple(r) for r in line_dedup.repeated_runs(frame(rows, 12), scratch).select("did", "lo", "hi").distinct().collect())
+        found.append((made(scratch.root), gone))
+    assert found[0][0] == 1 and 2 <= found[1][0] <= 12
+    assert found[0][1] == found[1][1] == [(i, 0, 0) for i in range(5, 40)]
+
+
 def test_lines_that_many_documents_share(frame, monkeypatch):
     monkeypatch.setattr(common, "HOT", 8)
     rnd = random.Random(9)

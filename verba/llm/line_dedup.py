@@ -38,7 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verba.llm.common import Scratch, dealt_join, light, settled
+from verba.llm import common
+from verba.llm.common import Scratch, dealt_join, light, settled, text_bytes
 
 LAST = (1 << 63) - 1
 LINES = "did long, th long, o int, id1 long, id2 long, lo1 int, hi1 int, m1 int, nx1 int, lo2 int, hi2 int, m2 int, nx2 int"
@@ -111,7 +112,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, min_words: int = 50, id_col
     """(did, th, lo, hi, nx): line numbers of runs that occur earlier, both ends included, and of the next line that is not empty."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(*_key(id_col, text_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    lines = scratch.keep(rows.mapInArrow(_lines(min_words), LINES), "lines")
+    lines = scratch.keep(rows.mapInArrow(_lines(min_words), LINES), "lines", text_bytes(rows), common.TASK_BYTES)
     most = most0 = lines.count()
 
     def ranked(keyed: DataFrame, k: int, most: int) -> DataFrame:
