@@ -35,3 +35,11 @@ def test_surface_runs_of_all_texts(spark, tmp_path):
     want = {(i, k): n for (i, k), n in own.items() if total[k] >= 20}
     got = {(r["doc_id"], r["alias"]): r["n"] for r in catalog.surface_matches(spark, corpus(spark, tmp_path, rows)).collect()}
     assert got == want and {k for _, k in got} == {"der", "wald", "ist", "tief", "der wald", "wald ist", "der wald ist"}
+
+
+def test_surface_runs_go_past_dots_of_one_character(spark, tmp_path):
+    rows = [(i, "release 2.0 or a. b or 12.0", "en") for i in range(20)]
+    got = {(r["doc_id"], r["alias"]): r["n"] for r in catalog.surface_matches(spark, corpus(spark, tmp_path, rows)).collect()}
+    words = [["release", "2", "0", "or", "a", "b", "or", "12"], ["0"]]
+    want = collections.Counter((i, " ".join(w[s : s + n])) for i, _, _ in rows for w in words for n in (1, 2, 3) for s in range(len(w) - n + 1))
+    assert got == want
