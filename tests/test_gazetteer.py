@@ -1,6 +1,13 @@
 """Matches over whole corpora against brute force."""
 
 import collections
+import json
+import os
+import subprocess
+import sys
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from verba import catalog
 from verba.runtime import prepare
@@ -43,3 +50,27 @@ def test_surface_runs_go_past_dots_of_one_character(spark, tmp_path):
     words = [["release", "2", "0", "or", "a", "b", "or", "12"], ["0"]]
     want = collections.Counter((i, " ".join(w[s : s + n])) for i, _, _ in rows for w in words for n in (1, 2, 3) for s in range(len(w) - n + 1))
     assert got == want
+
+
+CLUSTER = """
+import json, sys
+from pyspark.sql import SparkSession
+from verba import catalog
+s = (SparkSession.builder.master("local-cluster[2,2,1024]").config("spark.default.parallelism", "8").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
+     .config("spark.checkpoint.dir", f"file://{sys.argv[1]}/shared").getOrCreate())
+print("ROWS", json.dumps([[r["doc_id"], r["key"], r["n"]] for r in catalog.lemma_matches(s, f"file://{sys.argv[1]}").collect()]))
+s.stop()
+"""
+
+
+def test_lemma_pairs_of_few_files_on_a_cluster(tmp_path):
+    """Fewer files than cores are dealt; blocks then come in any order, and a row must stay the same row."""
+    os.mkdir(tmp_path / "documents.parquet")
+    for i in range(3):
+        ids = list(range(i, 240, 3))
+        pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": ["aba gora ta"] * len(ids)}), tmp_path / f"documents.parquet/{i}.parquet")
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ran = subprocess.run([sys.executable, "-c", CLUSTER, str(tmp_path)], capture_output=True, text=True, timeout=300, cwd=tmp_path, env=os.environ | {"PYTHONPATH": home, "PYSPARK_PYTHON": sys.executable})
+    rows = [json.loads(x[5:]) for x in ran.stdout.splitlines() if x.startswith("ROWS ")]
+    assert rows, ran.stderr[-2000:]
+    assert sorted(rows[0]) == sorted([i, k, 1] for i in range(240) for k in ("аба гора", "гора та"))
