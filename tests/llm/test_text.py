@@ -43,6 +43,40 @@ def test_pieces(lib, frame):
     assert {r["text"] for r in decode_documents(enc, public.path(MODEL)).collect()} == {"to be", "", "x"}
 
 
+def test_known_ends_of_words_are_not_searched_again(lib, monkeypatch):
+    from verba.llm import sentencepiece_fst
+
+    t = sentencepiece_fst.Transducer(sentencepiece_fst.piece_model.load(public.path(MODEL)))
+    walks, arcs = [], t.pieces.arcs
+    monkeypatch.setattr(t.pieces, "arcs", lambda text: walks.append(text) or arcs(text))
+    starts = ["brandish", "unheard", "schein", "ñandú", "zuü", "x7", "日", "Q"]
+    texts = [f"{a}{b}{c}" for a in starts for b in ("thoushreer", "ciónqueueb", "einstkeitw") for c in ("", ".", "&&&", ",***", "é", "9", " " * 3, "_" * 40)]
+    for x in texts:
+        assert t.encode(x).tolist() == lib.encode(x), x
+    assert len(walks) < 4 * len(texts)
+    mixed = [*texts, *odd_texts(), "", *texts[:20], "z" * 500 + "thoushreer&&&"]
+    for group, ends, most in ((1, 2, 3), (7, 1 << 16, 5), (1 << 18, 5, 1 << 17)):
+        monkeypatch.setattr(sentencepiece_fst, "GROUP", group)
+        monkeypatch.setattr(sentencepiece_fst, "ENDS", ends)
+        monkeypatch.setattr(sentencepiece_fst.Memo, "MOST", most)
+        t.forget()
+        for x in mixed:
+            assert t.encode(x).tolist() == lib.encode(x), x
+
+
+def test_rows_of_pieces_are_written_in_parts(lib, monkeypatch):
+    from verba.llm import sentencepiece_fst
+
+    monkeypatch.setattr(sentencepiece_fst, "HELD", 30)
+    texts = [None, "", "to be or not", *odd_texts(), None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    out = list(sentencepiece_fst._run(public.path(MODEL), True)(iter([batch.slice(0, 0), batch])))
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert len(out) > 10 and [r["id"] for r in rows] == list(range(len(texts)))
+    assert [r["ids"] for r in rows] == [lib.encode(x or "") for x in texts] and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+    assert [r["decoded"] for r in rows] == [lib.decode(r["ids"]) for r in rows]
+
+
 def test_counts(lib, frame):
     from verba.llm.token_counts import compiled, token_counts
 

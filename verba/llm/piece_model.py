@@ -102,6 +102,11 @@ class PieceModel:
         """Whether the space mark only occurs as a leading run of pieces."""
         return not any(SPACE in p.lstrip(SPACE) for p in self.score)
 
+    @property
+    def inside(self) -> frozenset[str]:
+        """Each two characters that some piece holds side by side; no merge crosses a border between others."""
+        return frozenset(p[i : i + 2] for p in self.score for i in range(len(p) - 1))
+
 
 def load(path: str) -> PieceModel:
     with open(path, "rb") as f:

@@ -21,8 +21,12 @@ path are added and the least sum is taken, is the encoding.  The composition is
 expanded while the path is searched (``Transducer.shortest``), least sum first.
 
 No piece has the space mark after another character, and none holds a line feed,
-so the composition falls into independent parts there; the paths of recent parts
-are remembered within a partition, in bounded memory.  Other models (not BPE, with
+so the composition falls into independent parts there, and again before marks at a
+part's end if no piece crosses that border.  The rest of a path is itself a
+sequence of pieces whose neighbours are left alone, so it is the model's
+segmentation of what it reads, whatever came before.  The paths of recent parts and
+of their ends are remembered within a partition, in bounded memory, and a search
+stops where a known end begins.  Other models (not BPE, with
 a character map, without byte fallback, or with pieces across those borders) are
 refused with ``ValueError``.
 
@@ -35,6 +39,8 @@ extra columns are ignored.  Ids outside the vocabulary raise ``IndexError``.
 from __future__ import annotations
 
 import re
+import string
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -48,35 +54,60 @@ from verba.llm.common import settled
 from verba.llm.piece_model import BYTE, CONTROL, SPACE, UNKNOWN, Memo, PieceModel
 
 INF = float("inf")
-#: Arcs of the acceptor that a worker remembers.
-ARCS = 1 << 18
-
-
-def left_alone(left: str, right: str, score: dict[str, float]) -> bool:
-    """Whether the model's own merges on ``left + right`` end with just these two.
-
-    The best pair merges first, the leftmost among equals; an empty ``left``
-    asks whether ``right`` alone ends as one piece.
+#: Arcs of the acceptor, and histories of pieces, that a worker remembers.
+ARCS, HISTORIES = 1 << 18, 1 << 14
+#: Characters of a part's end whose path is remembered at most, and such ends of a generation.
+END, ENDS = 24, 1 << 16
+#: Marks at the end of words, and how many runs of them are remembered.
+MARKS, RUNS = string.punctuation, 1 << 12
+#: Characters of lines whose parts are looked up at once.
+GROUP = 1 << 18
+#: Ids that are held until their rows are written.
+HELD = 1 << 18
+
+
+def history(piece: str, score: dict[str, float]) -> list[tuple[float, str, str]] | None:
+    """The model's own merges on ``piece`` alone: before each its score, the first and the last symbol; at the end the piece.
+
+    The best pair merges first, the leftmost among equals; none if they do not end as one piece.
     """
-    symbols, border = list(left + right), len(left)
+    symbols, out = list(piece), []
     pairs = [score.get(symbols[i] + symbols[i + 1]) for i in range(len(symbols) - 1)]
-    while True:
+    while pairs:
         best, at = None, -1
         for i, s in enumerate(pairs):
             if s is not None and (best is None or s > best):
                 best, at = s, i
         if best is None:
-            return len(symbols) == (2 if left else 1)
-        if left and at + 1 == border:
-            return False
+            return None
+        out.append((best, symbols[0], symbols[-1]))
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        if at < border:
-            border -= 1
         del pairs[at]
         if at:
             pairs[at - 1] = score.get(symbols[at - 1] + symbols[at])
         if at < len(pairs):
             pairs[at] = score.get(symbols[at] + symbols[at + 1])
+    return [*out, (-INF, piece, piece)]
+
+
+def left_alone(left: list, right: list, score: dict[str, float]) -> bool:
+    """Whether the model's merges on two neighbours, given by their histories, end with just these two.
+
+    Until a merge crosses the border, those on either side happen as they do alone.
+    The best is next: the left side's among equals, then the one across the border.
+    """
+    i = j = 0
+    while True:
+        (a, _, last), (b, first, _) = left[i], right[j]
+        across = score.get(last + first)
+        if across is not None and across > a and across >= b:
+            return False
+        if a == b == -INF:
+            return True
+        if a >= b:
+            i += 1
+        else:
+            j += 1
 
 
 class Normaliser:
@@ -90,33 +121,39 @@ class Normaliser:
 
 
 class Pieces:
-    """The trie: a state is (arcs by character, id that it writes if it accepts, else -1)."""
+    """The trie: a state is (arcs by character, the ways from the root that reach or pass it and accept)."""
 
     def __init__(self, model: PieceModel):
+        #: From here on outputs stand for a single character that is no piece, and is written as bytes.
+        self.fallback = len(model.pieces)
         root: dict = {}
+        none: dict = {}
         for piece, i in model.ids.items():
             arcs = root
             for c in piece[:-1]:
-                arcs = arcs.setdefault(c, ({}, -1))[0]
-            arcs[piece[-1]] = (arcs.get(piece[-1], ({}, -1))[0], i)
+                arcs = arcs.setdefault(c, [{}, -1])[0]
+            arcs.setdefault(piece[-1], [{}, -1])[1] = i
+        todo: list[tuple[dict, int, tuple]] = [(root, 1, ())]
+        while todo:
+            arcs, n, before = todo.pop()
+            for c, (after, i) in arcs.items():
+                if n == 1 and i < 0:
+                    i = self.fallback + ord(c)
+                ways = ((n, i), *before) if i >= 0 else before
+                arcs[c] = (after or none, ways)
+                if after:
+                    todo.append((after, n + 1, ways))
         self.root = root
-        #: From here on outputs stand for a single character that is no piece, and is written as bytes.
-        self.fallback = len(model.pieces)
 
-    def arcs(self, text: str) -> list[tuple[int, int]]:
-        """(length, output) of each path from the root that reads the text's start, longest last."""
-        out, n, arcs = [], 0, self.root
+    def arcs(self, text: str) -> tuple[tuple[int, int], ...]:
+        """(length, output) of each path from the root that reads the text's start, longest first."""
+        arcs, ways = self.root, None
         for c in text:
             state = arcs.get(c)
             if state is None:
                 break
-            n += 1
-            arcs, i = state
-            if i >= 0 or n == 1:
-                out.append((n, i))
-        if not out or out[0][1] < 0:
-            out[:1] = [(1, self.fallback + ord(text[0]))]
-        return out
+            arcs, ways = state
+        return ways or ((1, self.fallback + ord(text[0])),)
 
 
 class Weights:
@@ -127,19 +164,59 @@ class Weights:
         self.start = pieces.fallback + 0x110000
         self.width = self.start + 1
         self.known: dict[int, float] = {}
+        self.histories: dict[int, list | None] = {}
+
+    def clear(self) -> None:
+        self.known.clear()
+        self.histories.clear()
 
     def name(self, output: int) -> str:
         if output == self.start:
             return ""
         return self.model.pieces[output] if output < self.fallback else chr(output - self.fallback)
 
+    def history(self, output: int) -> list | None:
+        if output not in self.histories:
+            if len(self.histories) >= HISTORIES:
+                self.histories.clear()
+            self.histories[output] = history(self.name(output), self.model.score)
+        return self.histories[output]
+
     def arc(self, last: int, output: int) -> float:
         if len(self.known) >= ARCS:
             self.known.clear()
-        w = self.known[last * self.width + output] = 0.0 if left_alone(self.name(last), self.name(output), self.model.score) else INF
+        right = self.history(output)
+        if last == self.start or right is None:
+            fits = right is not None
+        else:
+            left = self.history(last)
+            fits = left is not None and left_alone(left, right, self.model.score)
+        w = self.known[last * self.width + output] = 0.0 if fits else INF
         return w
 
 
+class Paths(Memo):
+    """Ids of recent parts; one that ends with marks falls into what is before them and the marks, unless a piece crosses that border."""
+
+    def __init__(self, transducer: Transducer, lead: str):
+        super().__init__(None)
+        self.transducer, self.lead, self.inside = transducer, lead, transducer.model.inside
+
+    def made(self, parts: list[str]):
+        ids, run, lead, inside, young, old = self.transducer.ids, self.transducer.run, self.lead, self.inside, self.young, self.old
+        for part in parts:
+            body = part.rstrip(MARKS)
+            cut = len(body)
+            if cut == len(part) or not cut or part[cut - 1 : cut + 1] in inside or len(part) - cut > END:
+                yield part, ids(lead + part)
+                continue
+            known = young.get(body) or old.get(body)
+            if known is None:
+                known = young[body] = ids(lead + body)
+                self.chars += cut
+            yield part, known + run(part[cut:])
+
+
 class Transducer:
     def __init__(self, model: PieceModel):
         if not (model.newline_splits and model.space_starts):
@@ -148,9 +225,14 @@ class Transducer:
         self.normaliser, self.pieces = Normaliser(model.dummy_prefix), Pieces(model)
         self.weights = Weights(model, self.pieces)
         #: Ids of recent parts: with a space mark before them, and as they stand.
-        self.spaced = Memo(lambda part: self.ids(SPACE + part))
-        self.plain = Memo(self.ids)
+        self.spaced, self.plain = Paths(self, SPACE), Paths(self, "")
+        #: Ids of recent runs of marks.
+        self.run = lru_cache(maxsize=RUNS)(self.ids)
+        #: Paths of recent ends of parts, young and old.
+        self.ends: dict[str, tuple[int, ...]] = {}
+        self.old_ends: dict[str, tuple[int, ...]] = {}
         self.out = [self._written(i) for i in range(len(model.pieces))]
+        self.id_bytes = [struct.pack("<i", i) for i in range(len(model.pieces))]
         self.longest = model.longest
         self.parts = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -158,7 +240,9 @@ class Transducer:
         """Drop what is remembered between texts."""
         self.spaced.clear()
         self.plain.clear()
-        self.weights.known.clear()
+        self.run.cache_clear()
+        self.ends, self.old_ends = {}, {}
+        self.weights.clear()
 
     # -- composition and shortest path ---------------------------------------
     def shortest(self, part: str) -> list[int]:
@@ -167,62 +251,100 @@ class Transducer:
         Dijkstra's search: the open state of least sum is expanded first, the one
         entered last among equals.  As arcs weigh 0 or infinity, all open states
         have the sum 0 and the queue is a stack; the first path that reads the whole
-        part is a shortest one.  States are expanded once.
+        part is a shortest one.  States are expanded once, and those before a
+        remembered end of a part not at all: the path goes on as the end's own, or
+        if the arc to that weighs infinity, not at all (see the module's head).
         """
         arcs, known, weigh, width, n = self.pieces.arcs, self.weights.known, self.weights.arc, self.weights.width, len(part)
+        ends, old_ends, longest = self.ends, self.old_ends, self.longest
         path: list[int] = []
-        longest = self.longest
-        ways: list[list[tuple[int, int]]] = []
+        ways: list = []
         done: set[tuple[int, int]] = set()
         last, at = self.weights.start, 0
-        left = arcs(part[:longest]) if n else []
+        left = iter(arcs(part[:longest]) if n else ())
         while at < n:
-            while left:
-                size, output = left.pop()
-                w = known.get(last * width + output)
+            row = last * width
+            for size, output in left:
+                w = known.get(row + output)
                 if (weigh(last, output) if w is None else w) == 0.0 and (not done or (at + size, output) not in done):
                     break
             else:
                 piece = path.pop()
                 done.add((at, piece))
-                at -= len(self.weights.name(piece))
-                last, left = path[-1] if path else self.weights.start, ways.pop()
+                at, left = ways.pop()
+                last = path[-1] if path else self.weights.start
                 continue
             path.append(output)
-            ways.append(left)
+            ways.append((at, left))
             at, last = at + size, output
-            left = arcs(part[at : at + longest]) if at < n else []
+            if n - at <= END:
+                if at == n:
+                    break
+                end = ends.get(part[at:]) or old_ends.get(part[at:])
+                if end:
+                    w = known.get(last * width + end[0])
+                    if (weigh(last, end[0]) if w is None else w) == 0.0:
+                        path += end
+                        break
+                    left = iter(())
+                    continue
+            left = iter(arcs(part[at : at + longest]))
+        for k in range(len(ways) - 1, 0, -1):
+            at = ways[k][0]
+            if n - at > END:
+                break
+            ends[part[at:]] = tuple(path[k:])
+        if len(ends) >= ENDS:
+            self.ends, self.old_ends = {}, ends
         return path
 
     def ids(self, part: str) -> bytes:
         """The path's ids as 32-bit integers, little-endian."""
-        fallback, out = self.pieces.fallback, []
-        for x in self.shortest(part):
-            out += [x] if x < fallback else [self.model.byte_ids[b] for b in chr(x - fallback).encode("utf-8")]
-        return np.array(out, "<i4").tobytes()
+        fallback, id_bytes, path = self.pieces.fallback, self.id_bytes, self.shortest(part)
+        if path and max(path) >= fallback:
+            return b"".join([id_bytes[i] for x in path for i in ([x] if x < fallback else [self.model.byte_ids[b] for b in chr(x - fallback).encode("utf-8")])])
+        return b"".join([id_bytes[x] for x in path])
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        out = []
-        feed = self.ids("\n")
+        out: list[bytes] = []
+        spaced: list[str] = []
+        plain: list[str] = []
+        held: list[tuple[Memo, list[str]]] = []
+
+        def write() -> None:
+            known = {self.spaced: self.spaced.of(spaced), self.plain: self.plain.of(plain)}
+            for memo, parts in held:
+                out.extend(map(known[memo].__getitem__, parts))
+            for x in (spaced, plain, held):
+                x.clear()
+
+        size = 0
         for k, line in enumerate(text.split("\n")):
             first = k == 0
-            if k:
-                out.append(feed)
+            lead = [] if first else ["\n"]
+            parts: list[str] = []
             if not line:
                 if first and self.normaliser.start:
-                    out.append(self.ids(self.normaliser.start))
-                continue
-            if "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
-                parts = self.parts.findall(self.normaliser.write(line, first))
-                out += map(self.plain.of(parts).__getitem__, parts)
-                continue
-            parts = line.split(" ")  # the normaliser writes a mark before each of these
-            if not (first and self.normaliser.start):
-                out.append(self.plain.of(parts[:1])[parts[0]])
-                del parts[0]
-            out += map(self.spaced.of(parts).__getitem__, parts)
+                    lead = [self.normaliser.start]
+            elif "  " in line or SPACE in line or line[0] == " " or line[-1] == " ":
+                lead += self.parts.findall(self.normaliser.write(line, first))
+            else:
+                parts = line.split(" ")  # the normaliser writes a mark before each of these
+                if not (first and self.normaliser.start):
+                    lead.append(parts.pop(0))
+            if lead:
+                plain += lead
+                held.append((self.plain, lead))
+            if parts:
+                spaced += parts
+                held.append((self.spaced, parts))
+            size += len(line)
+            if size >= GROUP:
+                write()
+                size = 0
+        write()
         return np.frombuffer(b"".join(out), "<i4")
 
     # -- the inverse -------------------------------------------------------------
@@ -247,25 +369,28 @@ def compiled(path: str) -> Transducer:
 
 
 def _run(path: str, decoded: bool):
+    def rows(keys: pa.Array, ends: list[int], ids: list[np.ndarray], back: list[str]) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+        cols, names = [keys, lists, pc.list_value_length(lists).cast(pa.int64())], ["id", "ids", "n_tokens"]
+        if decoded:
+            cols.append(pa.array(back, pa.string()))
+            names.append("decoded")
+        return pa.RecordBatch.from_arrays(cols, names)
+
     def run(batches):
         t = compiled(path)
         t.forget()  # a task before may have been cut short
         for b in batches:
-            ends, ids, back = [0], [], []
-            for text in b.column(1):
+            start, ends, ids, back = 0, [0], [], []
+            for k, text in enumerate(b.column(1), 1):
                 i = t.encode(text.as_py())
                 ids.append(i)
                 ends.append(ends[-1] + len(i))
                 if decoded:
                     back.append(t.decode(i))
-            flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            cols = [b.column(0), lists, pc.list_value_length(lists).cast(pa.int64())]
-            names = ["id", "ids", "n_tokens"]
-            if decoded:
-                cols.append(pa.array(back, pa.string()))
-                names.append("decoded")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                if ends[-1] >= HELD or k == b.num_rows:
+                    yield rows(b.column(0).slice(start, k - start), ends, ids, back)
+                    start, ends, ids, back = k, [0], [], []
         t.forget()
 
     return settled(run)
