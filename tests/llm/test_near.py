@@ -6,7 +6,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verba.llm import common, decontaminate, line_dedup, ngram_join
@@ -86,6 +88,34 @@ def test_ngram_tasks_over_wide_rows_stay_apart(spark, frame, monkeypatch):
     assert tasks.value == 4 and kept["links"] <= 1 and kept["cells"] <= 1
 
 
+def test_join_writes_its_tables_without_processes(frame, monkeypatch):
+    """Spark's writer starts a process for each local file, which is counted with the executor's memory for a moment."""
+    by_spark, write = [], DataFrame.write
+    monkeypatch.setattr(DataFrame, "write", property(lambda df: by_spark.append(df.columns) or write.fget(df)))
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[i * 9 : i * 9 + 60], f"x{i // 2}" * (i % 2)])) for i in range(20)] + [(20, ""), (21, None)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_components(frame(rows), 4, 85, 100).collect()}
+    assert got == components(rows, 4, 85, 100) and not by_spark
+
+
+def test_scratch_tables_of_workers(spark, monkeypatch):
+    monkeypatch.setattr("verba.scratch.GROUP_BYTES", 64)
+    scratch = common.Scratch(spark, "kept", workers=True)
+    many = spark.range(0, 1000, 1, 5).selectExpr("id", "if(id % 3 = 0, null, array(id, -id)) a", "cast(cast(id as string) as binary) b", "cast(id as int) i", "if(id % 2 = 0, null, concat('\u00e9', id)) s", "named_struct('x', id / 7, 'y', id > 5) t")
+    for df, n in ((many, 1000), (many.where("id < 0"), 0), (many.select("id", F.expr("date_add(date'2020-01-01', i)").alias("day")), 1000)):
+        got = scratch.keep(df, "one", n, 400)  # again and again under one name
+        assert got.dtypes == df.dtypes and sorted(map(repr, got.collect())) == sorted(map(repr, df.collect())) and len(got.inputFiles()) <= 3
+
+    def broken(batches):
+        yield from batches
+        raise ValueError("broken task")
+
+    with pytest.raises(Exception, match="broken task"):
+        scratch.keep(many.select("id"), "two", made=(broken, "id long"))
+    assert scratch.keep(many.select("id"), "two", made=(lambda batches: batches, "id long")).count() == 1000
+    assert len(spark.read.parquet(f"{scratch.root}/two").inputFiles()) == 5
+
+
 def test_join_against_brute_force(frame, monkeypatch):
     monkeypatch.setattr(ngram_join, "SHORT", 8)
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 16)
